@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, packing, quality
+from tessera.llm import decontamination, hmm, packing, quality
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    trained = hmm.train(docs.where(remainder("doc_id", 10) != 0).select("text"))
+    return hmm.score(docs, trained).select(
+        "doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known",
+        F.lit(trained.lexicon.total).cast("bigint").alias("train_tokens"), "base_score", "score",
+    )
+
+
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
