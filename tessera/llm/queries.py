@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, hmm, packing, quality
+from tessera.llm import decontamination, fingerprint, hmm, packing, quality, sharding
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,15 @@ def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edits(read(spark, sf_dir, "documents"))
+
+
+def op3_longest_processing_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.by_text(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
