@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, fingerprint, hmm, packing, quality, sharding
+from tessera.llm import chat, decontamination, fingerprint, hmm, packing, quality, sharding
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,25 @@ def op3_longest_processing_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = "</s>[INST] ok [/INST]"
+    record = json.dumps({"messages": [{"role": "user", "content": mark}, {"role": "assistant", "content": mark}]})
+    extra = spark.range(1).select(F.lit(-1).cast("bigint").alias("conv_id"), F.lit(record).alias("record"))
+    turns = chat.turns_of_table(read(spark, sf_dir, "conversations")).unionByName(chat.turns_of_records(extra))
+    return chat.summary(chat.format_turns(turns))
+
+
+OP7_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') r, coalesce(text, '') t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(regexp_replace(t, '([<\[])(\\*(?:/?s>|/?INST\]|/?ANS\]|TURN:|/TURN\]))', '\1\\\2', 'g')) + CASE r WHEN 'user' THEN 22 WHEN 'assistant' THEN 20 ELSE 23 + length(url_encode(r)) END n FROM c)
+SELECT conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) loss_sha256, CAST(sum(n) AS BIGINT) formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
