@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontamination, fingerprint, hmm, packing, quality, sharding
+from tessera.llm import chat, decontamination, fingerprint, hmm, html, packing, quality, sharding
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ FROM e GROUP BY conv_id
 """
 
 
+def op4_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(read(spark, sf_dir, "pages"))
+
+
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
