@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontamination, fingerprint, hmm, html, packing, quality, sharding
+from tessera.llm import chat, decontamination, fingerprint, hmm, html, neardup, packing, quality, sharding
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,22 @@ def op4_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_texts(read(spark, sf_dir, "pages"))
 
 
+def op5_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 4) - 1], ' ') k FROM d, unnest(range(1, len(w) - least(len(w), 4) + 2)) t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+e AS (SELECT a.doc_id a, b.doc_id b, count(*) x FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM e JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * x >= 80 * (na.n + nb.n - x)),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) c FROM r GROUP BY a)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) n_shingles, c.c component_id, doc_id = c.c kept FROM d JOIN c ON a = doc_id LEFT JOIN n USING (doc_id)
+"""
+
+
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
