@@ -228,14 +228,19 @@ def clean(df: DataFrame, benchmark: DataFrame, window: int = 10, coverage: float
     fields = df.schema
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded: dict[int, Automaton] = {}
         for batch in batches(source):
             at = batch.schema.get_field_index(text)
             texts = texts_of(batch.column(at))
             hit: list[np.ndarray] = [np.zeros(0, bool) for _ in texts]
             out: list[bytes | None] = list(texts)
             keep = np.ones(len(texts), bool)
-            for block in blocks:
-                for r, (words, i, hits) in enumerate(pickle.loads(block.value).scan(texts)):
+            for k, block in enumerate(blocks):
+                if k not in loaded:
+                    if len(blocks) > 4:
+                        loaded.clear()
+                    loaded[k] = pickle.loads(block.value)
+                for r, (words, i, hits) in enumerate(loaded[k].scan(texts)):
                     if hits:
                         first, stop = int(words.first[i]), int(words.first[i + 1])
                         hit[r] = _covered(stop - first, hits) | (hit[r] if len(hit[r]) else False)

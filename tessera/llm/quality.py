@@ -224,3 +224,14 @@ def score(scored: DataFrame, model: Discriminant) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1))), pa.float64())], names=["doc_id", "score"])
 
     return scored.select("doc_id", "x").mapInArrow(run, "doc_id bigint, score double")
+
+
+def keep(df: DataFrame, model: Discriminant, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns kept, that score ``least`` or more; nothing is shuffled."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source):
+            x = statistics(texts_of(batch.column(batch.schema.get_field_index(text))))
+            yield batch.filter(pa.array(model.score(x) >= least))
+
+    return df.mapInArrow(run, df.schema)
