@@ -39,3 +39,15 @@ def drop(df: DataFrame) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def whole_texts(df: DataFrame) -> DataFrame:
+    """``df``, which is about to send whole texts to Python.
+
+    Spark counts Arrow batches in rows, by default 10,000 of them, which may be
+    long texts; a session that says nothing else gets smaller ones.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, "1000")
+    return df

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.cluster import whole_texts
 from tessera.llm.textkit import BY_ALNUM, Words, batches, slices, texts_of
 
 
@@ -214,7 +215,7 @@ def scan(df: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "d
                 names=["doc_id", "n_words", "n_hit", "items", "spans"],
             )
 
-    return df.select(df[doc_id].cast("bigint").alias("doc_id"), df[text].alias("text")).mapInArrow(run, schema)
+    return whole_texts(df).select(df[doc_id].cast("bigint").alias("doc_id"), df[text].alias("text")).mapInArrow(run, schema)
 
 
 def clean(df: DataFrame, benchmark: DataFrame, window: int = 10, coverage: float = 0.8, **names: str) -> DataFrame:
@@ -258,4 +259,4 @@ def clean(df: DataFrame, benchmark: DataFrame, window: int = 10, coverage: float
             columns = [column if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
 
-    return df.mapInArrow(run, fields)
+    return whole_texts(df).mapInArrow(run, fields)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tessera.llm.cluster import whole_texts
 from tessera.llm.textkit import batches
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -143,4 +144,4 @@ def pack(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "te
         if rows:
             yield flush()
 
-    return df.select(df[doc_id].cast("bigint").alias("doc_id"), df[text].alias("text")).mapInArrow(run, SCHEMA)
+    return whole_texts(df).select(df[doc_id].cast("bigint").alias("doc_id"), df[text].alias("text")).mapInArrow(run, SCHEMA)

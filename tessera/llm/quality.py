@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.cluster import whole_texts
 from tessera.llm.textkit import BY_SPACE, Words, batches, slices, texts_of
 
 NAMES = (
@@ -111,7 +112,7 @@ def features(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             x = statistics(texts_of(batch.column(1))).astype("<f8")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
 
-    return df.select(df[doc_id].cast("bigint").alias("doc_id"), df[text].alias("text")).mapInArrow(run, STATISTICS)
+    return whole_texts(df).select(df[doc_id].cast("bigint").alias("doc_id"), df[text].alias("text")).mapInArrow(run, STATISTICS)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -234,4 +235,4 @@ def keep(df: DataFrame, model: Discriminant, least: float = 0.5, text: str = "te
             x = statistics(texts_of(batch.column(batch.schema.get_field_index(text))))
             yield batch.filter(pa.array(model.score(x) >= least))
 
-    return df.mapInArrow(run, df.schema)
+    return whole_texts(df).mapInArrow(run, df.schema)

@@ -122,7 +122,7 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def batches(source: Iterable[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches(source: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of bounded bytes."""
     for batch in source:
         if not batch.num_rows:
@@ -137,20 +137,23 @@ class HashTable:
 
     def __init__(self, keys: np.ndarray) -> None:
         self.keys = keys
-        self.bits = max(4, min(24, int(len(keys)).bit_length()))
-        edges = np.arange((1 << self.bits) + 1, dtype=np.uint64) << np.uint64(64 - self.bits)
-        self.start = np.searchsorted(keys, edges[:-1]).astype(np.int64)
-        self.most = int(np.diff(np.append(self.start, len(keys))).max(initial=0))
+        self.bits = max(4, min(26, int(len(keys)).bit_length() - 1))
+        edges = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
+        self.start = np.searchsorted(keys, edges).astype(np.int32 if len(keys) < 1 << 31 else np.int64)
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """Index of each wanted key, -1 where there is none."""
         out = np.full(len(wanted), -1, np.int64)
         if not len(self.keys):
             return out
-        at = self.start[(wanted >> np.uint64(64 - self.bits)).astype(np.int64)]
-        last = len(self.keys) - 1
-        for step in range(self.most):
-            here = np.minimum(at + step, last)
-            hit = self.keys[here] == wanted
-            out[hit] = here[hit]
+        at = self.start[(wanted >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.int64)
+        todo = np.arange(len(wanted))
+        while len(todo):
+            inside = at < len(self.keys)
+            todo, at = todo[inside], at[inside]
+            here = self.keys[at]
+            hit = here == wanted[todo]
+            out[todo[hit]] = at[hit]
+            less = here < wanted[todo]
+            todo, at = todo[less], at[less] + 1
         return out
