@@ -74,20 +74,18 @@ def neighbours(df: DataFrame, order: str, carried: list[str], ranges: int | None
         before.append(passed)
         passed += len(c)
     known = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)  # noqa: E731  folded into a literal
-    cell = F.greatest(F.lit(0), F.least(F.lit(len(cells) - 1), F.expr(f"cast((`{order}` - {least}) div {width} as int)")))
+    inside = F.expr(f"cast((cast(`{order}` as decimal(20,0)) - {least}BD) div {width}BD as int)")
+    cell = F.when(F.col(order) <= least, 0).when(F.col(order) >= most, len(cells) - 1).otherwise(inside)
     up = F.coalesce(F.get(known(before, "array<int>"), cell) + F.size(F.filter(F.get(known(cells, "array<array<bigint>>"), cell), lambda e: e <= F.col(order))), F.lit(0))
     # a higher range number comes earlier; rows under the least edge and null orders are range 0
     ranged = df.withColumns({"_range": up, "_ghost": F.lit(0)})
     firsts = ranged.groupBy("_range").agg(F.max(F.struct(F.col(order).isNotNull().alias("set"), F.col(order).alias("at"))).alias("top"))
     tops = sorted((r["_range"], r["top"]["at"]) for r in firsts.collect())  # a row for each range
     # the range that the first row of a range follows: the next higher one, the lowest for the highest
-    goes = {at: tops[(i + 1) % len(tops)][0] for i, (_, at) in enumerate(tops)}
-    ids, to = [at for at in goes if at is not None], [goes[at] for at in goes if at is not None]
-    place = F.array_position(known(ids, "array<bigint>"), F.col(order))
-    if None in goes:
-        target = F.when(F.col(order).isNull(), F.lit(goes[None])).otherwise(F.get(known(to, "array<int>"), (place - 1).cast("int")))
-    else:
-        target = F.get(known(to, "array<int>"), (place - 1).cast("int"))
+    first_of, goes = [None] * (len(edges) + 1), [0] * (len(edges) + 1)
+    for i, (r, at) in enumerate(tops):
+        first_of[r], goes[r] = at, tops[(i + 1) % len(tops)][0]
+    target = F.when(F.col(order).eqNullSafe(F.get(known(first_of, "array<bigint>"), F.col("_range"))), F.get(known(goes, "array<int>"), F.col("_range")))
     ranged = ranged.withColumn("_to", target)
     copies = F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("g")))
     both = F.when(F.col("_to").isNotNull(), F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("g")), F.struct(F.col("_to").alias("r"), F.lit(1).alias("g")))).otherwise(copies)
