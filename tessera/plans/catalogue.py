@@ -318,16 +318,16 @@ _UNSEEN = "vec_id % 5 <> 4 or vec_id % 10 = 4"
 
 def _stored(spark: SparkSession, folder: str) -> Engine:
     e = Engine(spark, tie="vec_id")
-    e.execute("create table sift (vec_id long, embedding vector(64))")
-    e.insert("sift", files.table(spark, folder, "embeddings").where("vec_id % 5 <> 4").select("vec_id", "embedding"))
+    e.execute("create table vecs (vec_id long, embedding vector(64))")
+    e.insert("vecs", files.table(spark, folder, "embeddings").where("vec_id % 5 <> 4").select("vec_id", "embedding"))
     return e
 
 
 @query(f"select vec_id from ({_ranked(_L2, _UNSEEN)})")
 def knn_after_insert(spark: SparkSession, folder: str) -> DataFrame:
     e, df = _stored(spark, folder), files.table(spark, folder, "embeddings")
-    e.insert("sift", df.where("vec_id % 10 = 4").select("vec_id", "embedding"))
-    return e.sql(f"select vec_id from sift order by embedding <EUC> {text_of(vector_of(spark, folder))} limit {K}")
+    e.insert("vecs", df.where("vec_id % 10 = 4").select("vec_id", "embedding"))
+    return e.sql(f"select vec_id from vecs order by embedding <EUC> {text_of(vector_of(spark, folder))} limit {K}")
 
 
 @query(_ranked(_L2, "vec_id % 5 <> 4 or vec_id <= 100"))

@@ -186,11 +186,11 @@ def test_micro_ycsb_and_recall(spark, base):
     assert procedures.call(e, "ycsb", reads=["a"], inserts=new).count() == 0
     assert [r.ycsb_1 for r in procedures.call(e, "ycsb", reads=["a"], writes={"a": "9"}).collect()] == ["1"]
     assert e.sql("select ycsb_1 from ycsb where ycsb_id = 'a'").first().ycsb_1 == "9"
-    e.register("sift", df.where("vec_id < 200"))
+    e.register("vecs", df.where("vec_id < 200"))
     log = df.where("vec_id >= 200").withColumn("seq", F.col("vec_id"))
     want = [i for i in truth(x[:251], x[0].astype(float), 20)]
-    assert procedures.call(e, "recall_after_inserts", base="sift", log=log, query_seq=250, query=x[0].tolist(), found=want).first().recall == 1.0
-    assert procedures.call(e, "nearest", table="sift", query=x[4].tolist(), k=3).first().id_0 == 4
+    assert procedures.call(e, "recall_after_inserts", base="vecs", log=log, query_seq=250, query=x[0].tolist(), found=want).first().recall == 1.0
+    assert procedures.call(e, "nearest", table="vecs", query=x[4].tolist(), k=3).first().id_0 == 4
 
 
 def test_stream(spark, tmp_path):
