@@ -15,8 +15,12 @@ where a repeat can be, and only to the depth that decides:
    order of position; a position whose neighbour in suffix order with a smaller
    position shares its rank has a longest previous factor of ``length`` or more.
    Looking at the neighbour with a greater position as well gives all copies.
-5. Grams with over ``hot_contexts`` different contexts are not brought together:
-   each of their strings is counted by hash, in sums that combine before they move.
+5. Grams with over ``hot_contexts`` different contexts, some 6 MB that take some
+   200 MB to sort, are not brought together.
+   Their strings are taken in blocks of neighbouring starts: strings of a block
+   can only be repeated if the bytes all of them share are, and all are if the
+   block is as a whole.  Only where neither decides is each string counted.  All
+   counts are sums that combine before they move.
 
 Defined cases: a null or short text has nothing to remove; rows with the same
 id and text are copies of each other, except that with ``keep_first`` they count
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.cluster import partitions, table
+from tessera.llm.cluster import partitions, table, whole_texts
 from tessera.llm.textkit import batches, mix, prefix_hash, slices, span_hash, texts_of
 
 LOWEST = -(1 << 63)
@@ -87,22 +91,38 @@ def anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...
     return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.zeros(0, np.int64) for _ in range(6))
 
 
+def _dense(key: np.ndarray) -> np.ndarray:
+    """Ranks of keys, equal for equal ones; about 30 bytes a key at the most."""
+    order = np.argsort(key)
+    new = np.empty(len(key), np.int32)
+    new[:1] = 0
+    ordered = key[order]
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:], casting="unsafe")
+    del ordered
+    np.cumsum(new, out=new)
+    rank = np.empty(len(key), np.int32)
+    rank[order] = new
+    return rank
+
+
 def ranks(data: np.ndarray, depth: int) -> np.ndarray:
     """The rank of data[p:p + depth] among all positions p, by prefix doubling (zeros follow the end)."""
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
     size = 1
     while size * 2 <= min(8, depth):
         size *= 2
     key = np.zeros(n, np.uint64)
     for k in range(size):
-        key = (key << np.uint64(8)) | padded[k : n + k]
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        key <<= np.uint64(8)
+        key |= padded[k : n + k]
+    rank = _dense(key)
     while size < depth:
         step = size if size * 2 <= depth else depth - size
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - step)] = rank[step:] + 1
-        rank = np.unique(rank * (n + 2) + second, return_inverse=True)[1].astype(np.int64)
+        key = rank.astype(np.uint64)
+        key *= np.uint64(n + 2)
+        key[: max(0, n - step)] += rank[step:].astype(np.uint64) + np.uint64(1)
+        rank = _dense(key)
         size += step
     return rank
 
@@ -148,10 +168,10 @@ SPANS = "d bigint, k bigint, start int, stop int"
 
 def keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """d and k, which name a row up to equal rows, and its text."""
-    return df.select(F.coalesce(df[doc_id].cast("bigint"), F.lit(LOWEST)).alias("d"), F.xxhash64(df[doc_id].cast("bigint"), df[text]).alias("k"), df[text].alias("text"))
+    return whole_texts(df).select(F.coalesce(df[doc_id].cast("bigint"), F.lit(LOWEST)).alias("d"), F.xxhash64(df[doc_id].cast("bigint"), df[text]).alias("k"), df[text].alias("text"))
 
 
-def spans(rows: DataFrame, length: int = 400, keep_first: bool = False, gram: int = 64, hot_contexts: int = 2000) -> DataFrame:
+def spans(rows: DataFrame, length: int = 400, keep_first: bool = False, gram: int = 64, hot_contexts: int = 10_000) -> DataFrame:
     """d, k, start, stop of byte ranges to remove, of ``rows`` made by ``keyed``; ranges may overlap."""
 
     def find(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,26 +181,27 @@ def spans(rows: DataFrame, length: int = 400, keep_first: bool = False, gram: in
             yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(k), pa.array(h), pa.array(c), *(pa.array(x.astype(np.int32)) for x in (off, lo, hi))], names=["d", "k", "h", "c", "off", "lo", "hi"])
 
     found = table(rows.mapInArrow(find, "d bigint, k bigint, h bigint, c bigint, off int, lo int, hi int"))
-    shared = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written, so that the join below has plain inputs, which Spark can split where a gram is hot
+    shared = table(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     near = table(found.join(shared, "h", "left_semi"))
-    contexts = table(near.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "k", "lo", "hi")).alias("rep")))
+    contexts = table(near.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "k", "lo", "hi", "off")).alias("rep")))
     whole = near.join(contexts.where("n > 1"), ["h", "c"])
     if keep_first:
         whole = whole.where(~((F.col("d") == F.col("rep.d")) & (F.col("k") == F.col("rep.k")) & (F.col("lo") == F.col("rep.lo"))))
     whole = whole.select("d", "k", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
-    kinds = contexts.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1" if keep_first else "m > 1 and least = 1")
+    kinds = table(contexts.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1" if keep_first else "m > 1 and least = 1"))
     open_ = contexts.join(kinds.select("h", (F.col("m") > hot_contexts).alias("hot")), "h")
-    wanted = open_.select(F.col("rep.d").alias("d"), F.col("rep.k").alias("k"), F.struct("h", "hot", F.col("rep.lo").alias("lo"), F.col("rep.hi").alias("hi")).alias("w")).groupBy("d", "k").agg(F.collect_list("w").alias("ws"))
+    wanted = open_.select(F.col("rep.d").alias("d"), F.col("rep.k").alias("k"), F.struct("h", "hot", F.col("rep.lo").alias("lo"), F.col("rep.hi").alias("hi"), F.col("rep.off").alias("off")).alias("w")).groupBy("d", "k").agg(F.collect_list("w").alias("ws"))
 
     def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, 2 << 20):
             out: list[tuple] = []
             for d, k, t, ws in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), batch.column(3).to_pylist()):
-                out += [(w["h"], w["hot"], d, k, w["lo"], t[w["lo"] : w["hi"] + length]) for w in ws]
-            columns = list(zip(*out)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["h", "hot", "d", "k", "lo", "body"])
+                out += [(w["h"], w["hot"], d, k, w["lo"], t[w["lo"] : w["hi"] + length], w["off"]) for w in ws]
+            columns = list(zip(*out)) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()))], names=["h", "hot", "d", "k", "lo", "body", "off"])
 
-    bodies = rows.join(wanted, ["d", "k"]).select("d", "k", "text", "ws").mapInArrow(cut, "h bigint, hot boolean, d bigint, k bigint, lo int, body binary")
+    bodies = rows.join(wanted, ["d", "k"]).select("d", "k", "text", "ws").mapInArrow(cut, "h bigint, hot boolean, d bigint, k bigint, lo int, body binary, off int")
 
     def sort(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -217,30 +238,54 @@ def spans(rows: DataFrame, length: int = 400, keep_first: bool = False, gram: in
     return result
 
 
+#: Neighbouring strings of a block.
+BLOCK = 16
+
+
 def _hot(bodies: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """Spans in contexts of hot grams: every string is a row with two hashes, counted in combining sums."""
+    """Spans in contexts of hot grams, by blocks of strings and then, where a block does not decide, by strings."""
 
-    def strings(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source, 1 << 18):
-            bodies_ = texts_of(batch.column(5))
+    def blocks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source, 1 << 19):
+            bodies_, off = texts_of(batch.column(5)), batch.column(6).to_numpy().astype(np.int64)
             sizes = np.fromiter((len(b) for b in bodies_), np.int64, len(bodies_))
-            begin = np.concatenate([[0], np.cumsum(sizes)])
+            begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            strings = sizes - length + 1
             prefix = prefix_hash(np.frombuffer(b"".join(bodies_), np.uint8))
-            owner = np.repeat(np.arange(len(bodies_)), sizes - length + 1)
-            at = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(sizes - length + 1)[:-1]]), sizes - length + 1) + begin[:-1][owner]
-            half = length // 2
-            # halves hashed apart make a second, independent hash
-            w1, w2 = span_hash(prefix, at, at + length), mix(span_hash(prefix, at, at + half) ^ (span_hash(prefix, at + half, at + length) * np.uint64(3)))
-            d, k, lo = (batch.column(i).to_numpy()[owner] for i in (2, 3, 4))
-            yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(d), pa.array(k), pa.array((lo + at - begin[:-1][owner]).astype(np.int32))], names=["w1", "w2", "d", "k", "s"])
-
-    rows = table(bodies.mapInArrow(strings, "w1 bigint, w2 bigint, d bigint, k bigint, s int"))
-    several = rows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("d", "k", "s")).alias("rep")).where("n > 1")
-    met = rows.join(several, ["w1", "w2"])
+            at = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings) + np.repeat(begin, strings)
+            each = span_hash(prefix, at, at + length)
+            # a block: the strings that start from 16 q to 16 q + 15 bytes before the anchor, those furthest from it first
+            high, low = off // BLOCK, (off - strings + 1) // BLOCK
+            n = high - low + 1
+            own = np.repeat(np.arange(len(n)), n)
+            q = high[own] - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            first = np.maximum(0, off[own] - (BLOCK * q + BLOCK - 1))
+            last = np.minimum(strings[own] - 1, off[own] - BLOCK * q)
+            core, core_end = begin[own] + off[own] - BLOCK * q, begin[own] + off[own] - BLOCK * q - (BLOCK - 1) + length
+            half = (core + core_end) // 2
+            tag = mix((q + 1).astype(np.uint64))
+            g1 = span_hash(prefix, core, core_end) ^ tag
+            g2 = mix(span_hash(prefix, core, half) ^ (span_hash(prefix, half, core_end) * np.uint64(3)) ^ tag)
+            u = mix(span_hash(prefix, begin[own] + first, begin[own] + last + length) + (off[own] - first).astype(np.uint64))
+            d, k, lo = (batch.column(i).to_numpy()[own] for i in (2, 3, 4))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(last - first + 1)]).astype(np.int32)), pa.array(each.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (g1, g2, u)), pa.array(d), pa.array(k), pa.array((lo + first).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), lists], names=["g1", "g2", "u", "d", "k", "s", "n_ws", "ws"])
+
+    rows = table(bodies.mapInArrow(blocks, "g1 bigint, g2 bigint, u bigint, d bigint, k bigint, s int, n_ws int, ws array<bigint>"))
+    is_rep = (F.col("d") == F.col("rep.d")) & (F.col("k") == F.col("rep.k")) & (F.col("s") == F.col("rep.s"))
+    kinds = table(rows.groupBy("g1", "g2", "u").agg(F.count("*").alias("n"), F.min(F.struct("d", "k", "s")).alias("rep")))
+    groups = table(kinds.groupBy("g1", "g2").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1" if keep_first else "m > 1 and least = 1").select("g1", "g2"))
+    whole = rows.join(kinds.where("n > 1"), ["g1", "g2", "u"])
+    if keep_first:
+        whole = whole.where(~is_rep)
+    whole = whole.select("d", "k", F.col("s").alias("start"), (F.col("s") + F.col("n_ws") - 1 + length).alias("stop"))
+    undecided = rows.join(kinds.join(groups, ["g1", "g2"]), ["g1", "g2", "u"]).where(is_rep)
+    each = table(undecided.select("g1", "g2", "d", "k", "s", F.posexplode("ws").alias("p", "w")).select("g1", "g2", "w", "d", "k", (F.col("s") + F.col("p")).alias("s")).distinct())
+    several = table(each.groupBy("g1", "g2", "w").agg(F.count("*").alias("n"), F.min(F.struct("d", "k", "s")).alias("rep")).where("n > 1"))
+    met = each.join(several, ["g1", "g2", "w"])
     if keep_first:
-        met = met.where(~((F.col("d") == F.col("rep.d")) & (F.col("k") == F.col("rep.k")) & (F.col("s") == F.col("rep.s"))))
-    # neighbouring strings of a document become one span before they leave
-    return met.groupBy("d", "k", F.expr("s div 64").alias("part")).agg(F.collect_set("s").alias("ss")).select("d", "k", F.explode("ss").alias("start")).withColumn("stop", (F.col("start") + length).cast("int"))
+        met = met.where(~is_rep)
+    return whole.union(met.select("d", "k", F.col("s").alias("start"), (F.col("s") + length).alias("stop")))
 
 
 def removed(df: DataFrame, length: int = 400, keep_first: bool = False, doc_id: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
@@ -269,10 +314,10 @@ def clean(df: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str =
     Removed ranges are drawn in to whole characters.  Documents left without a
     word go.
     """
-    keys = {"_d": F.coalesce(df[doc_id].cast("bigint"), F.lit(LOWEST)), "_k": F.xxhash64(df[doc_id].cast("bigint"), df[text])}
-    ranges = spans(keyed(df, doc_id, text), length, True, **limits).groupBy("d", "k").agg(F.collect_list(F.struct("start", "stop")).alias("_ranges"))
-    joined = df.withColumns(keys)
-    joined = joined.join(ranges, (joined["_d"] == ranges["d"]) & (joined["_k"] == ranges["k"]), "left").select(*df.columns, "_ranges")
+    d, k, ranges = "__suffix_d", "__suffix_k", "__suffix_ranges"  # beside any columns of the documents
+    found = spans(keyed(df, doc_id, text), length, True, **limits).groupBy(F.col("d").alias(d), F.col("k").alias(k)).agg(F.collect_list(F.struct("start", "stop")).alias(ranges))
+    named = df.withColumns({d: F.coalesce(df[doc_id].cast("bigint"), F.lit(LOWEST)), k: F.xxhash64(df[doc_id].cast("bigint"), df[text])})
+    joined = whole_texts(named).join(found, [d, k], "left").select(*(df[c] for c in df.columns), ranges)
 
     def apply(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
