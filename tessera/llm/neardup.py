@@ -13,8 +13,8 @@ similar sets.  Bands of registers find candidates.
    inverted index over its full sets.
 4. A larger cluster is confirmed across tasks.  All its nodes meet a few pivots,
    whose joint likelihood estimate must allow the similarity before full sets are
-   compared; nodes outside the cluster's largest component then look for
-   partners by an exact prefix filter over all the cluster's sets.
+   compared; nodes outside the cluster's largest component then meet all the
+   cluster's nodes, in blocks of an inverted index over full sets.
 5. Confirmed links form components, by label propagation again.
 
 Defined cases: documents without words (null, empty, white space) have an empty
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.cluster import partitions, table
+from tessera.llm.cluster import table, whole_texts
 from tessera.llm.textkit import BY_SPACE, Words, batches, mix, slices, splitmix, texts_of
 
 #: SetSketch parameters: base of the levels and their count.
@@ -120,7 +120,7 @@ def sketches(df: DataFrame, size: int, bands: int, rows: int, doc_id: str, text:
                 keys.append(mix((sketcher.levels(s).astype(np.uint64).reshape(bands, rows) * weights).sum(1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "s1", "s2", "bands"])
 
-    return df.select(df[doc_id].cast("bigint").alias("doc_id"), df[text].alias("text")).mapInArrow(run, schema)
+    return whole_texts(df).select(df[doc_id].cast("bigint").alias("doc_id"), df[text].alias("text")).mapInArrow(run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -132,6 +132,11 @@ def components(edges: DataFrame) -> DataFrame:
     one round.
     """
     both = table(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    # all neighbours of a node are tied to the least of them and itself instead of to the node: as connected,
+    # and where nodes share neighbours these are far fewer ties
+    least = table(both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("least")))
+    closer = both.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).union(least.select("a", F.col("least").alias("b"))).distinct()
+    both = table(closer.union(closer.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = table(both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
     while True:
         heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("heard")).withColumnRenamed("a", "node")
@@ -189,7 +194,8 @@ def links(df: DataFrame, shingle: int = 4, percent: int = 80, bands: int = 40, r
     docs = table(sketches(df, shingle, bands, rows, doc_id, text))
     nodes = docs.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
     banded = nodes.where("node is not null").select("node", F.explode("bands").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    # written, so that the join below has plain inputs, which Spark can split where a bucket is hot
+    hubs = table(banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"))
     ties = table(banded.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     empty = spark.createDataFrame([], "a bigint, b bigint")
     if ties.isEmpty():
@@ -240,48 +246,67 @@ def _large(texts: DataFrame, shingle: int, percent: int, registers: int, pivots:
             source = whole.withColumn("rank", F.xxhash64("node"))
         else:
             # the nodes that met the most pivots are central
-            met = done.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("met"))
+            met = done.groupBy(F.col("a").alias("node")).agg(F.max("met").alias("met"))
             source = whole.join(met, "node").withColumn("rank", -F.col("met"))
         # one pivot for each of `pivots` slots: minima, which combine before they move
         picked = source.groupBy("component", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(pivots)).alias("slot")).agg(F.min(F.struct("rank", "node")).alias("p")).select("component", F.col("p.node").alias("node"))
         chosen = table(whole.join(picked, ["component", "node"]).groupBy("component").agg(F.collect_list(F.struct("node", "text")).alias("pivots")))
         links_ = table(_meet(whole, chosen, shingle, percent, registers))
         done = links_ if done is None else done.union(links_)
+    done = done.select("a", "b")
     joined = components(done.union(whole.select("node", F.col("node").alias("b"))))
     state = table(whole.select("node", F.col("component").alias("cluster")).join(joined, "node"))
     sizes = state.groupBy("cluster", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("m")).select("cluster", F.col("m.component").alias("largest"))
-    rest = table(state.join(largest, "cluster").where("component <> largest").select("node", "cluster", "component"))
-    if rest.isEmpty():
-        return done
-    # exact prefix filter: of a node outside, the rarest (1 - t) n + 1 shingles must hit any partner
-    sets = table(whole.select("node", "text", "component").mapInArrow(_explode(shingle), "node bigint, cluster bigint, n int, s bigint"))
-    outside = sets.join(rest.select("node"), "node", "left_semi")
-    asked = outside.select("cluster", "s").distinct()
-    counts = sets.join(asked, ["cluster", "s"], "left_semi").groupBy("cluster", "s").agg(F.count("*").alias("df"))
-    ranked = outside.join(counts, ["cluster", "s"]).groupBy("node", "cluster", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("o"))
-    prefix = ranked.select("node", "cluster", F.col("n").alias("na"), F.explode(F.slice("o", 1, F.greatest(F.lit(1), F.expr(f"cast(n - ceil(n * {percent} / 100.0) + 1 as int)")))).alias("x")).select("node", "cluster", "na", F.col("x.s").alias("s"))
-    partner = sets.select(F.col("node").alias("b"), "cluster", F.col("n").alias("nb"), "s")
-    fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    pairs = prefix.join(partner, ["cluster", "s"]).where(fits & (F.col("node") != F.col("b"))).select(F.col("node").alias("a"), "b").distinct()
-    where = state.select(F.col("node"), "component")
-    pairs = table(pairs.join(where.withColumnRenamed("node", "a").withColumnRenamed("component", "ca"), "a").join(where.withColumnRenamed("node", "b").withColumnRenamed("component", "cb"), "b").where("ca <> cb").select("a", "b"))
-    full = sets.groupBy("node").agg(F.collect_list("s").alias("set"))
-    left = pairs.join(full.withColumnRenamed("node", "a").withColumnRenamed("set", "sa"), "a").join(full.withColumnRenamed("node", "b").withColumnRenamed("set", "sb"), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    late = left.where(both * 100 >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-    return done.union(late)
-
-
-def _explode(shingle: int):
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source, 1 << 20):
-            sets = shingles(texts_of(batch.column(1)), shingle)
-            n = np.array([len(s) for s in sets])
-            repeat = lambda c: np.repeat(c.to_numpy(), n)
-            yield pa.RecordBatch.from_arrays([pa.array(repeat(batch.column(0))), pa.array(repeat(batch.column(2))), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "cluster", "n", "s"])
+    rest = table(state.join(largest, "cluster").where("component <> largest").select("node", "component").join(whole.select("node", F.col("component").alias("cluster"), "text"), "node"))
+    return done.union(table(_left_over(whole.join(joined.withColumnRenamed("component", "own"), "node"), rest, shingle, percent)))
 
-    return run
+
+def _left_over(members: DataFrame, rest: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Exact links of nodes outside their cluster's largest component with all the cluster's nodes of other components.
+
+    The nodes outside are taken in blocks of bounded bytes, each an inverted
+    index over full sets that the members stream through: only links come out.
+    """
+    spark = members.sparkSession
+    links_ = spark.createDataFrame([], "a bigint, b bigint")
+    size = rest.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-size // (PIVOT_BYTES // 8))
+    for block in range(blocks):
+        part = rest.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(blocks)) == block).select("cluster", "node", "component", "text")
+        asked: dict[int, list] = {}
+        for r in part.collect():  # about PIVOT_BYTES / 8
+            asked.setdefault(r.cluster, []).append((r.node, r.component, r.text))
+        sent = spark.sparkContext.broadcast(asked)
+
+        def run(source: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            known: dict[int, tuple] = {}
+            for batch in batches(source):
+                a, b = [], []
+                sets = shingles(texts_of(batch.column(1)), shingle)
+                for node, s, cluster, own in zip(batch.column(0).to_pylist(), sets, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                    if cluster not in sent.value:
+                        continue
+                    if cluster not in known:
+                        listed = sent.value[cluster]
+                        rs = shingles([(t or "").encode() for *_, t in listed], shingle)
+                        values, owner = np.concatenate(rs), np.repeat(np.arange(len(rs)), [len(r) for r in rs])
+                        order = np.argsort(values, kind="stable")
+                        known[cluster] = (np.array([n for n, *_ in listed]), np.array([c for _, c, _ in listed]), np.array([len(r) for r in rs]), values[order], owner[order])
+                    nodes, components_, sizes, values, owner = known[cluster]
+                    left, right = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+                    n = right - left
+                    at = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    inter = np.bincount(owner[at], minlength=len(nodes))
+                    hit = np.flatnonzero(linked(inter, len(s), sizes, percent) & (components_ != own))
+                    # one link to each other component is enough
+                    hit = hit[np.unique(components_[hit], return_index=True)[1]]
+                    a += [node] * len(hit)
+                    b += nodes[hit].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        links_ = links_.union(members.select("node", "text", "component", "own").mapInArrow(run, "a bigint, b bigint"))
+    return links_
 
 
 def _meet(whole: DataFrame, pivots: DataFrame, shingle: int, percent: int, registers: int) -> DataFrame:
@@ -295,30 +320,44 @@ def _meet(whole: DataFrame, pivots: DataFrame, shingle: int, percent: int, regis
         sketcher = Sketcher(registers)
         known: dict[int, tuple] = {}
         for batch in batches(source):
-            a, b = [], []
+            a, b, met = [], [], []
             sets = shingles(texts_of(batch.column(1)), shingle)
             for r, (node, s, cluster) in enumerate(zip(batch.column(0).to_pylist(), sets, batch.column(2).to_pylist())):
                 if cluster not in known:
                     if len(known) > 8:
                         known.clear()
-                    listed = sent.value[cluster] if sent else [(p["node"], p["text"]) for p in batch.column(3)[r].as_py()]
+                    listed = sent.value.get(cluster, []) if sent else [(p["node"], p["text"]) for p in batch.column(3)[r].as_py()]
                     ps = shingles([(t or "").encode() for _, t in listed], shingle)
-                    known[cluster] = ([n for n, _ in listed], ps, [sketcher.levels(p) for p in ps])
+                    ids = [n for n, _ in listed]
+                    root = {n: n for n in ids}
+                    for x, y in confirm(ids, ps, percent) if ids else []:  # a forest: pivots that are linked need one link from a node
+                        old, new = root[x], root[y]
+                        root = {n: new if g == old else g for n, g in root.items()}
+                    known[cluster] = (ids, ps, [sketcher.levels(p) for p in ps], root)
                 mine = sketcher.levels(s)
-                for node_p, p, levels in zip(*known[cluster]):
-                    if node_p == node or min(len(p), len(s)) * 100 < percent * max(len(p), len(s)):
+                hits: dict[int, int] = {}
+                n_met = 0
+                ids, ps, sketches_, root = known[cluster]
+                for node_p, p, levels in zip(ids, ps, sketches_):
+                    if min(len(p), len(s)) * 100 < percent * max(len(p), len(s)):
                         continue
                     # six deviations under the least similarity: what goes here can't be linked
                     if registers >= 64 and estimate(mine, levels, len(s), len(p)) < percent / 100 - 6 * (0.25 / registers) ** 0.5:
                         continue
                     if linked(len(np.intersect1d(s, p, assume_unique=True)), len(s), len(p), percent):
-                        a.append(node)
-                        b.append(node_p)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                        n_met += 1
+                        if node_p != node:
+                            hits.setdefault(root[node_p], node_p)
+                if node in root:  # a pivot's own links to its component's first pivot hold that component together
+                    hits |= {root[node]: root[node]} if root[node] != node else {}
+                a += [node] * len(hits)
+                b += hits.values()
+                met += [n_met] * len(hits)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, met)], names=["a", "b", "met"])
 
     rows = whole.select("node", "text", "component")
     rows = rows if sent else rows.join(pivots, "component").select("node", "text", "component", "pivots")
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(run, "a bigint, b bigint, met bigint")
 
 
 def near_duplicates(df: DataFrame, **options: object) -> DataFrame:
