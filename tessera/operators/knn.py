@@ -7,7 +7,7 @@ task multiplies its vectors with a block's and keeps k a query.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +62,12 @@ def smallest(distances: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], d[near]))[:k]]
 
 
-def knn_batch(df: DataFrame, queries: DataFrame, k: int = 20, distance: str = "euclidean", id_column: str = "vec_id", vector: str = "embedding", query_id: str = "vec_id", block: int = 2048) -> DataFrame:
-    """query_id, id, distance and rank of the k nearest rows of each query, ties by id."""
+def knn_batch(df: DataFrame, queries: DataFrame, k: int = 20, distance: str = "euclidean", id_column: str = "vec_id", vector: str = "embedding", query_id: str = "vec_id", block: int = 2048, key: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """query_id, id, distance and rank of the k nearest rows of each query, ties by id.
+
+    With ``key``, which gives each of some vectors its whole numbers, only rows
+    that share a number with the query at the same place are looked at.
+    """
     sc = df.sparkSession.sparkContext
     rows = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     found = None
@@ -72,6 +76,7 @@ def knn_batch(df: DataFrame, queries: DataFrame, k: int = 20, distance: str = "e
 
         def run(source: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, matrix = sent.value
+            asked = key(matrix) if key else None
             best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
             for batch in source:
                 if not batch.num_rows:
@@ -79,10 +84,15 @@ def knn_batch(df: DataFrame, queries: DataFrame, k: int = 20, distance: str = "e
                 own = batch.column(0).to_numpy()
                 values = batch.column(1)
                 base = values.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                held = key(base) if key else None
                 for at in range(0, len(ids), 64):
                     d = pair_distances(base, matrix[at : at + 64], distance)
                     for j in range(d.shape[1]):
-                        keep = smallest(d[:, j], own, k)
+                        if key:
+                            some = np.flatnonzero((held == asked[at + j]).any(1))
+                            keep = some[smallest(d[some, j], own[some], k)]
+                        else:
+                            keep = smallest(d[:, j], own, k)
                         dd, ii = np.concatenate([best[at + j][0], d[keep, j]]), np.concatenate([best[at + j][1], own[keep]])
                         keep = smallest(dd, ii, k)
                         best[at + j] = dd[keep], ii[keep]
