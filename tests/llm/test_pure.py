@@ -271,6 +271,20 @@ def test_extract_constant_in_articles():
     assert html.extract(pages[:3])[2] == "Story 2\n\nShare this story"
 
 
+@pytest.mark.parametrize("odd", [None, "", "<p>cut", "<table><tr><td>another layout</table>", "<html><body><div><p>Our si"])
+@pytest.mark.parametrize("first", [True, False])
+def test_extract_in_odd_company(odd, first):
+    pages = [f"<html><body><div><p>Our site</p></div><div id=x><p>story {i}</p></div><p>All rights</p></body></html>" for i in range(6)]
+    got = html.extract([odd, *pages] if first else [*pages, odd])
+    assert (got[1:] if first else got[:-1]) == [f"story {i}" for i in range(6)]
+
+
+def test_extract_two_layouts():
+    one = [f"<body><div id=a><p>Site one</p></div><div id=b><p>news {i}</p></div></body>" for i in range(4)]
+    two = [f"<body><table class=t><tr><td>Shop</td></tr></table><section id=c><h2>thing {i}</h2></section></body>" for i in range(3)]
+    assert html.extract([two[0], *one, *two[1:]]) == ["thing 0", *(f"news {i}" for i in range(4)), "thing 1", "thing 2"]
+
+
 def test_deep_page():
     assert html.extract(["<div>" * 3000 + "deep" + "</div>" * 3000]) == ["deep"]
 
