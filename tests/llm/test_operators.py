@@ -135,6 +135,15 @@ def test_html(spark):
     assert html.main_texts(df.where("false")).count() == 0
 
 
+def test_html_tail_of_a_host(spark):
+    page = "<html><body><div><p>Our site</p></div><div id=x><p>story {}</p></div><p>All rights</p></body></html>"
+    # one page over a set, and a run of copies as long as a set
+    pages = [(i, "https://a.example/", page.format(i)) for i in range(17)] + [(100 + i, "https://b.example/", page.format(min(i, 3))) for i in range(32)]
+    got = rows(html.main_texts(spark.createDataFrame(pages, "page_id bigint, url string, html string"), set_size=16), "page_id")
+    assert [got[i][0].text for i in range(17)] == [f"story {i}" for i in range(17)]
+    assert [got[100 + i][0].text for i in range(32)] == [f"story {min(i, 3)}" for i in range(32)]
+
+
 def plain_components(texts, size, percent):
     sets = {}
     for i, t in texts:

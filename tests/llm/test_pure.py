@@ -285,6 +285,14 @@ def test_extract_two_layouts():
     assert html.extract([two[0], *one, *two[1:]]) == ["thing 0", *(f"news {i}" for i in range(4)), "thing 1", "thing 2"]
 
 
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 128, 129, 200, 1000])
+def test_even_sets(n):
+    pages = [(i, k, f"p{i}") for i in range(n) for k in range(2)]
+    sets = list(html.even_sets(iter(pages), 64))
+    assert [(*r, p) for s in sets for p, copies in s for r in copies] == pages
+    assert all(min(n, 32) <= len(s) <= 64 for s in sets)
+
+
 def test_deep_page():
     assert html.extract(["<div>" * 3000 + "deep" + "</div>" * 3000]) == ["deep"]
 
