@@ -1,8 +1,9 @@
 """Hidden Markov language model.
 
 Symbols are the most frequent ``head`` words, one class for each ending of all
-other words, and the text's end.  Baum-Welch starts from a guess made on a
-bounded sample and then takes ``passes`` full passes over all training texts:
+other words, and the text's end.  Baum-Welch starts from a guess made in a few
+rounds on a bounded sample and then takes full passes over all training texts,
+until a pass gains at most ``gain`` of their log likelihood or ``passes`` are done:
 each task adds up its expected counts, blocks of symbols are summed across
 partitions, and the driver gets one states x symbols matrix of fixed size.  A
 text's likelihood is the scaled forward recursion over all its tokens, times,
@@ -192,7 +193,11 @@ class Hmm:
         return result
 
     def expect(self, symbols: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, steps and emissions: one E step of Baum-Welch.
+        """Expected counts of starts, steps and emissions: one E step of Baum-Welch."""
+        return self.expect_and_like(symbols, begin)[:3]
+
+    def expect_and_like(self, symbols: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """As expect, and the natural log likelihood of all sequences together.
 
         Long sequences come as pieces with what enters and what follows them,
         so the counts are those of whole sequences.
@@ -238,7 +243,8 @@ class Hmm:
             steps += before[~head].T @ ahead[~head]
         starts = gamma[begin[:-1]].sum(0, dtype=float) if len(size) else np.zeros(k)
         emitted = np.stack([np.bincount(symbols, gamma[:, j], len(emit)) for j in range(k)], 1) if len(symbols) else np.zeros((len(emit), k))
-        return starts, steps * self.step, emitted
+        # a piece's scales follow from the weights that enter it, so theirs multiply to the sequence's likelihood
+        return starts, steps * self.step, emitted, float(sum(np.log(s).sum(dtype=float) for s in scales))
 
     @staticmethod
     def estimate(starts: np.ndarray, steps: np.ndarray, emitted: np.ndarray, unigram: np.ndarray, prior: float) -> Hmm:
@@ -268,8 +274,8 @@ def guess(texts: list[bytes], lexicon: Lexicon, states: int, rounds: int, prior:
 BLOCK = 512
 
 
-def expected_counts(df: DataFrame, lexicon: Lexicon, model: Hmm, text: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One E step over all rows: summed by task, then by block of symbols across tasks."""
+def expected_counts(df: DataFrame, lexicon: Lexicon, model: Hmm, text: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """One E step over all rows, and their log likelihood: summed by task, then by block of symbols across tasks."""
     states, symbols = model.emit.shape[1], lexicon.symbols
     sent = df.sparkSession.sparkContext.broadcast((lexicon, model))  # of fixed size: head, classes, states
 
@@ -280,11 +286,11 @@ def expected_counts(df: DataFrame, lexicon: Lexicon, model: Hmm, text: str = "te
         for batch in batches(source):
             texts = texts_of(batch.column(0))
             for a, b in slices(texts):
-                part = model.expect(*lexicon.sequences(texts[a:b], find)[3:])
+                part = model.expect_and_like(*lexicon.sequences(texts[a:b], find)[3:])
                 total = part if total is None else tuple(x + y for x, y in zip(total, part))
         if total is None:
             return
-        flat = [np.concatenate([total[0], total[1].ravel()])] + [total[2][i : i + BLOCK].ravel() for i in range(0, symbols, BLOCK)]
+        flat = [np.concatenate([total[0], total[1].ravel(), [total[3]]])] + [total[2][i : i + BLOCK].ravel() for i in range(0, symbols, BLOCK)]
         salt = TaskContext.get().partitionId() // 64
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(np.full(len(flat), salt), pa.int32()), pa.array([x.astype("<f4").tobytes() for x in flat], pa.binary())], names=["block", "salt", "v"])
 
@@ -295,11 +301,13 @@ def expected_counts(df: DataFrame, lexicon: Lexicon, model: Hmm, text: str = "te
     shape = "block int, salt int, v binary"
     parts = whole_texts(df).select(df[text].alias("text")).mapInArrow(run, shape)
     summed = parts.groupBy("block", "salt").applyInArrow(add, shape).groupBy("block").applyInArrow(add, shape)
-    blocks = {r.block: np.frombuffer(r.v, "<f4").astype(float) for r in summed.collect()}  # states x symbols numbers
+    collected = summed.collect()
+    sent.unpersist()
+    blocks = {r.block: np.frombuffer(r.v, "<f4").astype(float) for r in collected}  # states x symbols numbers
     if not blocks:
-        return np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))
+        return np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states)), 0.0
     emitted = np.concatenate([blocks[i] for i in range(1, len(blocks))]).reshape(symbols, states)
-    return blocks[0][:states], blocks[0][states:].reshape(states, states), emitted
+    return blocks[0][:states], blocks[0][states:-1].reshape(states, states), emitted, float(blocks[0][-1])
 
 
 @dataclass
@@ -309,7 +317,7 @@ class Trained:
     words: DataFrame
 
 
-def train(df: DataFrame, text: str = "text", states: int = 12, head: int = 1 << 16, sample: int = 1000, rounds: int = 12, passes: int = 1, prior: float = 100.0) -> Trained:
+def train(df: DataFrame, text: str = "text", states: int = 12, head: int = 1 << 16, sample: int = 1000, rounds: int = 3, passes: int = 12, prior: float = 100.0, gain: float = 1e-3) -> Trained:
     """Learns from all rows of ``df``; ``sample`` texts at most make the first guess only."""
     words = table(word_counts(df, text))
     texts = df.count()
@@ -334,8 +342,13 @@ def train(df: DataFrame, text: str = "text", states: int = 12, head: int = 1 <<
     few = df.select(F.col(text).alias("text"), drawn.alias("at")).where(F.col("at") <= min(1.0, 4 * sample / max(texts, 1)) * (1 << 30))
     some = [(r.text or "").encode() for r in few.orderBy("at").limit(sample).toLocalIterator()] if texts else []
     model = guess(some, lexicon, states, rounds, prior)
+    before = -np.inf
     for _ in range(passes):
-        model = Hmm.estimate(*expected_counts(df, lexicon, model, text), lexicon.unigram(), prior)
+        *counts, like = expected_counts(df, lexicon, model, text)
+        model = Hmm.estimate(*counts, lexicon.unigram(), prior)
+        if like - before <= gain * abs(like):
+            break
+        before = like
     return Trained(lexicon, model, words)
 
 

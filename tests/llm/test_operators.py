@@ -68,6 +68,18 @@ def test_hmm_is_a_distribution(spark):
     assert one.agg(F.sum(F.pow(F.lit(10.0), "score"))).first()[0] < 1
 
 
+def test_hmm_converges_on_all_texts(spark):
+    rng = np.random.default_rng(5)
+    # the sample sees few of the texts, and hardly any of the rare language
+    texts = [" ".join(f"{'r' if i % 25 == 0 else 'c'}{w}" for w in rng.zipf(1.5, 30) % 40) for i in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").cache()
+    m = hmm.train(df, states=4, head=200, sample=5, prior=1.0)
+    more = hmm.Hmm.estimate(*hmm.expected_counts(df, m.lexicon, m.model)[:3], m.lexicon.unigram(), 1.0)
+    was, now = (hmm.score(df, hmm.Trained(m.lexicon, x, m.words)).agg(F.sum("score")).first()[0] for x in (m.model, more))
+    assert now - was <= 2e-3 * abs(was)
+    assert hmm.expected_counts(df, m.lexicon, m.model)[3] == pytest.approx(was * np.log(10), rel=1e-4)
+
+
 def test_fingerprints(docs, none):
     got = {(r.doc_id): r.fingerprint for r in fingerprint.fingerprints(docs).collect()}
     assert got[1] == got[2] and got[3] == got[4] == got[5] and got[7] == got[8] and got[9] == got[10]
