@@ -1,8 +1,9 @@
 """Chat formatting by schema fingerprints, with DataFrame and SQL functions only.
 
 A layout is known by its fingerprint: the xxhash64 of its sorted nested field
-paths.  The fingerprint of a table's schema, or of each JSON record, selects a
-declarative mapping (a dictionary of SQL expressions) that turns the layout
+paths.  The fingerprint of each JSON record selects a declarative mapping (a
+dictionary of SQL expressions); a table is matched without a hash, by its
+schema's paths, and has one mapping for all rows.  It turns the layout
 into canonical turns: an array of (role, text) in order.  Canonical turns are
 then written in one template whose marks can't be made by a text: control
 strings inside texts get a backslash after their first character, control
