@@ -60,7 +60,7 @@ def test_op10(spark, duck):
 def test_rows(spark, duck, name):
     df = queries.queries()[name](spark, str(DATA))
     table, key = ("pages", "page_id") if name.startswith("op4") else ("documents", "doc_id")
-    assert df.select(key).distinct().count() == duck.sql(f"select count(*) from {table}").fetchone()[0]
+    assert df.select(key).distinct().count() == duck.sql(f"select count(*) from {table}").fetchall()[0][0]
 
 
 def test_pipeline(spark):
