@@ -9,11 +9,11 @@ similar sets.  Bands of registers find candidates.
 2. In each band, nodes with equal registers are tied to the bucket's smallest
    node.  Ties form clusters, found by label propagation: all candidate pairs
    lie inside a cluster.  No pairs of a bucket are ever written out.
-3. A cluster of at most ``cluster_docs`` nodes is confirmed in one task with an
-   inverted index over its full sets.
-4. A larger cluster is confirmed across tasks.  All its nodes meet a few pivots,
-   whose joint likelihood estimate must allow the similarity before full sets are
-   compared; nodes outside the cluster's largest component then meet all the
+3. Pairs of a cluster are estimated jointly by likelihood from their registers and
+   sizes; where the estimate allows the similarity, full sets are compared.  A
+   cluster of at most ``cluster_docs`` nodes is confirmed in one task.
+4. A larger cluster is confirmed across tasks.  All its nodes meet a few pivots in
+   the same way; nodes outside the cluster's largest component then meet all the
    cluster's nodes, in blocks of an inverted index over full sets.
 5. Confirmed links form components, by label propagation again.
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.cluster import table, whole_texts
+from tessera.llm.cluster import Sieve, drop, partitions, table, whole_texts
 from tessera.llm.textkit import BY_SPACE, Words, batches, mix, slices, splitmix, texts_of
 
 #: SetSketch parameters: base of the levels and their count.
@@ -79,29 +79,31 @@ class Sketcher:
         return np.clip(np.floor(1 - np.log(x / 20) / np.log(BASE)), 0, LEVELS + 1).astype(np.uint16)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> float:
-    """Joint maximum likelihood estimate of the Jaccard similarity of two sets of known sizes.
+def estimates(mine: np.ndarray, others: np.ndarray, n: int, sizes: np.ndarray) -> np.ndarray:
+    """Joint maximum likelihood estimates of the Jaccard similarity of a set with others, all of known sizes.
 
-    Of all registers, those where a is above, b is above, and the equal ones
-    are counted; the three counts' likelihood has one maximum in J.
+    Of all registers, those where mine is above, the other is above, and the
+    equal ones are counted.  With u and v the sets' shares of their sizes' sum, a
+    register is above with p(u - v J), below with p(v - u J), equal with p(J), so
+    the likelihood's maximum in J is the lesser root of a quadratic equation.
     """
-    above, below = int((a > b).sum()), int((a < b).sum())
-    equal = len(a) - above - below
-    u = na / (na + nb)
+    above, below = (mine > others).sum(1), (mine < others).sum(1)
+    m = len(mine)
+    equal = m - above - below
+    u = n / (n + sizes)
+    v = 1 - u
+    b = equal * (u * u + v * v) + above * v * v + below * u * u
+    root = np.sqrt(np.maximum(b * b - 4 * (u * v) ** 2 * m * equal, 0))
+    return np.clip((b - root) / (2 * u * v * m), 0, np.minimum(u / v, v / u))
+
+
+def estimate(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> float:
+    return float(estimates(a, b[None, :], na, np.array([nb], float))[0])
 
-    def slope(j: float) -> float:
-        # a is above with p(u - v j), v the other's share, as in the levels' joint distribution for bases near 1
-        pa_, pb_ = u - (1 - u) * j, (1 - u) - u * j
-        out = 0.0
-        out -= above * (1 - u) / max(pa_, 1e-9)
-        out -= below * u / max(pb_, 1e-9)
-        return out + equal / max(j, 1e-9)
 
-    low, high = 0.0, min(u / (1 - u), (1 - u) / u)
-    for _ in range(40):
-        mid = (low + high) / 2
-        low, high = (mid, high) if slope(mid) > 0 else (low, mid)
-    return (low + high) / 2
+def possible(estimated: np.ndarray, percent: int, registers: int) -> np.ndarray:
+    """Which estimates allow the similarity: those less than six deviations under it; from 64 registers on."""
+    return estimated >= (percent / 100 - 6 * (0.25 / registers) ** 0.5 if registers >= 64 else -1.0)
 
 
 def sketches(df: DataFrame, size: int, bands: int, rows: int, doc_id: str, text: str) -> DataFrame:
@@ -136,7 +138,9 @@ def components(edges: DataFrame) -> DataFrame:
     # and where nodes share neighbours these are far fewer ties
     least = table(both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("least")))
     closer = both.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).union(least.select("a", F.col("least").alias("b"))).distinct()
-    both = table(closer.union(closer.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    first, both = both, table(closer.union(closer.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    drop(first)
+    drop(least)
     labels = table(both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
     while True:
         heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("heard")).withColumnRenamed("a", "node")
@@ -144,8 +148,10 @@ def components(edges: DataFrame) -> DataFrame:
         jump = lower.select(F.col("node").alias("new"), F.col("new").alias("far"))
         after = table(lower.join(jump, "new", "left").select("node", F.least("new", "far").alias("new"), "label"))
         moved = after.where("new < label").limit(1).count()
+        drop(labels)
         labels = after.select("node", F.col("new").alias("label"))
         if not moved:
+            drop(both)
             return labels.withColumnRenamed("label", "component")
 
 
@@ -153,13 +159,25 @@ def linked(inter: int | np.ndarray, na: int, nb: int | np.ndarray, percent: int)
     return 100 * inter >= percent * (na + nb - inter)
 
 
-def confirm(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the exact links of a small cluster, by an inverted index over full sets."""
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int((b[at] == a).sum())
+
+
+def confirm(nodes: list[int], sets: list[np.ndarray], percent: int, registers: int = 200) -> list[tuple[int, int]]:
+    """A spanning forest of the exact links of a small cluster.
+
+    Pairs whose sizes and whose joint estimate allow the similarity are compared
+    as full sets, likelier ones first, unless links found before join them.
+    """
     order = sorted(range(len(nodes)), key=lambda i: len(sets[i]))
-    owner = np.concatenate([np.full(len(sets[i]), k, np.int64) for k, i in enumerate(order)])
-    values = np.concatenate([sets[i] for i in order])
-    by_value = np.argsort(values, kind="stable")
-    values, posted = values[by_value], owner[by_value]
+    sketcher = Sketcher(registers)
+    levels = np.stack([sketcher.levels(sets[i]) for i in order]) if order else np.zeros((0, registers), np.uint16)
     sizes = np.array([len(sets[i]) for i in order])
     root = list(range(len(nodes)))
 
@@ -171,14 +189,14 @@ def confirm(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tupl
 
     out = []
     for k, i in enumerate(order):
-        s = sets[i]
-        left, right = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
-        n = right - left
-        at = np.repeat(left - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        inter = np.bincount(posted[at], minlength=len(nodes))
-        for j in np.flatnonzero(linked(inter[:k], int(sizes[k]), sizes[:k], percent)):
-            a, b = find(k), find(int(j))
-            if a != b:
+        low = int(np.searchsorted(100 * sizes[:k], percent * int(sizes[k]), "left"))
+        if low == k:
+            continue
+        guess = estimates(levels[k], levels[low:k], int(sizes[k]), sizes[low:k].astype(float))
+        some = np.flatnonzero(possible(guess, percent, registers))
+        for j in (some[np.argsort(-guess[some], kind="stable")] + low).tolist():
+            a, b = find(k), find(j)
+            if a != b and linked(common(sets[i], sets[order[j]]), int(sizes[k]), int(sizes[j]), percent):
                 root[a] = b
                 out.append((nodes[i], nodes[order[j]]))
     return out
@@ -205,8 +223,9 @@ def links(df: DataFrame, shingle: int = 4, percent: int = 80, bands: int = 40, r
     sizes = members.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"))
     is_big = (F.col("docs") > cluster_docs) | (F.col("weight") > cluster_shingles)
     big = table(sizes.where(is_big).select("component"))
-    # the texts of clustered documents only, once
-    texts = table(members.select("node", "component").join(df.select(df[doc_id].cast("bigint").alias("node"), df[text].alias("text")), "node"))
+    # the texts of clustered documents only, once: the others are sieved out before anything is shuffled
+    named = df.select(df[doc_id].cast("bigint").alias("node"), df[text].alias("text"))
+    texts = table(members.select("node", "component").join(Sieve(members, "node").passed(named, F.col("node")), "node"))
     small = texts.join(sizes.where(~is_big).select("component"), "component")
 
     def per_cluster(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +234,7 @@ def links(df: DataFrame, shingle: int = 4, percent: int = 80, bands: int = 40, r
         for batch in group:
             ids += batch.column(0).to_pylist()
             sets += shingles(texts_of(batch.column(1)), shingle)
-        pairs = confirm(ids, sets, percent)
+        pairs = confirm(ids, sets, percent, bands * rows)
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     found = small.select("node", "text", "component").groupBy("component").applyInArrow(_grouped(per_cluster), "a bigint, b bigint")
@@ -262,51 +281,58 @@ def _large(texts: DataFrame, shingle: int, percent: int, registers: int, pivots:
     return done.union(table(_left_over(whole.join(joined.withColumnRenamed("component", "own"), "node"), rest, shingle, percent)))
 
 
+#: Bytes of texts outside that make an index, and of members that stream through it in one place.
+INDEX_BYTES, STREAM_BYTES = 4 << 20, 64 << 20
+
+
 def _left_over(members: DataFrame, rest: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Exact links of nodes outside their cluster's largest component with all the cluster's nodes of other components.
 
-    The nodes outside are taken in blocks of bounded bytes, each an inverted
-    index over full sets that the members stream through: only links come out.
+    A cluster's nodes outside are dealt to blocks, its members to streams, both
+    of bounded bytes; each (block, stream) is a place where the block's texts,
+    which come first, form an inverted index over full sets and the members
+    stream through it.  Places are partitioned like any other rows: nothing
+    goes through the driver, and only links come out.
     """
-    spark = members.sparkSession
-    links_ = spark.createDataFrame([], "a bigint, b bigint")
-    size = rest.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // (PIVOT_BYTES // 8))
-    for block in range(blocks):
-        part = rest.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(blocks)) == block).select("cluster", "node", "component", "text")
-        asked: dict[int, list] = {}
-        for r in part.collect():  # about PIVOT_BYTES / 8
-            asked.setdefault(r.cluster, []).append((r.node, r.component, r.text))
-        sent = spark.sparkContext.broadcast(asked)
-
-        def run(source: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            known: dict[int, tuple] = {}
-            for batch in batches(source):
-                a, b = [], []
-                sets = shingles(texts_of(batch.column(1)), shingle)
-                for node, s, cluster, own in zip(batch.column(0).to_pylist(), sets, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                    if cluster not in sent.value:
-                        continue
-                    if cluster not in known:
-                        listed = sent.value[cluster]
-                        rs = shingles([(t or "").encode() for *_, t in listed], shingle)
-                        values, owner = np.concatenate(rs), np.repeat(np.arange(len(rs)), [len(r) for r in rs])
-                        order = np.argsort(values, kind="stable")
-                        known[cluster] = (np.array([n for n, *_ in listed]), np.array([c for _, c, _ in listed]), np.array([len(r) for r in rs]), values[order], owner[order])
-                    nodes, components_, sizes, values, owner = known[cluster]
-                    left, right = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
-                    n = right - left
-                    at = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    inter = np.bincount(owner[at], minlength=len(nodes))
-                    hit = np.flatnonzero(linked(inter, len(s), sizes, percent) & (components_ != own))
-                    # one link to each other component is enough
-                    hit = hit[np.unique(components_[hit], return_index=True)[1]]
-                    a += [node] * len(hit)
-                    b += nodes[hit].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        links_ = links_.union(members.select("node", "text", "component", "own").mapInArrow(run, "a bigint, b bigint"))
-    return links_
+    size = lambda name: F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias(name)
+    pieces = lambda c, most: F.greatest(F.lit(1), F.ceil(F.col(c) / most)).cast("int")
+    asked = rest.groupBy("cluster").agg(size("r")).join(members.groupBy(F.col("component").alias("cluster")).agg(size("m")), "cluster")
+    grid = table(asked.select("cluster", pieces("r", INDEX_BYTES).alias("blocks"), pieces("m", STREAM_BYTES).alias("streams")))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    index = rest.join(grid, "cluster").select("cluster", place(5, "blocks").alias("block"), spread("streams").alias("stream"), F.lit(0).alias("kind"), "node", F.col("component").alias("own"), "text")
+    flow = members.withColumnRenamed("component", "cluster").join(grid, "cluster").select("cluster", spread("blocks").alias("block"), place(6, "streams").alias("stream"), F.lit(1).alias("kind"), "node", "own", "text")
+    dealt = index.union(flow).repartition(partitions(rest.sparkSession), "cluster", "block", "stream").sortWithinPartitions("cluster", "block", "stream", "kind")
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, listed, built = None, [], None
+        for batch in batches(source):
+            a, b = [], []
+            places = zip(*(batch.column(i).to_pylist() for i in range(3)))
+            kinds, ids, owns = (batch.column(i).to_pylist() for i in (3, 4, 5))
+            for at, kind, node, own, s in zip(places, kinds, ids, owns, shingles(texts_of(batch.column(6)), shingle)):
+                if at != here:
+                    here, listed, built = at, [], None
+                if not kind:
+                    listed.append((node, own, s))
+                    continue
+                if built is None:
+                    values, owner = np.concatenate([x[2] for x in listed]), np.repeat(np.arange(len(listed)), [len(x[2]) for x in listed])
+                    order = np.argsort(values, kind="stable")
+                    built = (np.array([x[0] for x in listed]), np.array([x[1] for x in listed]), np.array([len(x[2]) for x in listed]), values[order], owner[order])
+                    listed = []
+                nodes, components_, sizes, values, owner = built
+                left, right = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+                n = right - left
+                found = np.bincount(owner[np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(nodes))
+                hit = np.flatnonzero(linked(found, len(s), sizes, percent) & (components_ != own))
+                # one link to each other component is enough
+                hit = hit[np.unique(components_[hit], return_index=True)[1]]
+                a += [node] * len(hit)
+                b += nodes[hit].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def _meet(whole: DataFrame, pivots: DataFrame, shingle: int, percent: int, registers: int) -> DataFrame:
@@ -330,21 +356,17 @@ def _meet(whole: DataFrame, pivots: DataFrame, shingle: int, percent: int, regis
                     ps = shingles([(t or "").encode() for _, t in listed], shingle)
                     ids = [n for n, _ in listed]
                     root = {n: n for n in ids}
-                    for x, y in confirm(ids, ps, percent) if ids else []:  # a forest: pivots that are linked need one link from a node
+                    for x, y in confirm(ids, ps, percent, registers) if ids else []:  # a forest: pivots that are linked need one link from a node
                         old, new = root[x], root[y]
                         root = {n: new if g == old else g for n, g in root.items()}
-                    known[cluster] = (ids, ps, [sketcher.levels(p) for p in ps], root)
-                mine = sketcher.levels(s)
+                    known[cluster] = (ids, ps, np.array([sketcher.levels(p) for p in ps], np.uint16).reshape(len(ps), registers), np.array([len(p) for p in ps], float), root)
                 hits: dict[int, int] = {}
                 n_met = 0
-                ids, ps, sketches_, root = known[cluster]
-                for node_p, p, levels in zip(ids, ps, sketches_):
-                    if min(len(p), len(s)) * 100 < percent * max(len(p), len(s)):
-                        continue
-                    # six deviations under the least similarity: what goes here can't be linked
-                    if registers >= 64 and estimate(mine, levels, len(s), len(p)) < percent / 100 - 6 * (0.25 / registers) ** 0.5:
-                        continue
-                    if linked(len(np.intersect1d(s, p, assume_unique=True)), len(s), len(p), percent):
+                ids, ps, levels, sizes, root = known[cluster]
+                near = (np.minimum(sizes, len(s)) * 100 >= percent * np.maximum(sizes, len(s))) & possible(estimates(sketcher.levels(s), levels, len(s), sizes), percent, registers)
+                for i in np.flatnonzero(near).tolist():
+                    node_p, p = ids[i], ps[i]
+                    if linked(common(s, p), len(s), len(p), percent):
                         n_met += 1
                         if node_p != node:
                             hits.setdefault(root[node_p], node_p)
@@ -368,5 +390,5 @@ def near_duplicates(df: DataFrame, **options: object) -> DataFrame:
     named = nodes.join(far, "node", "left") if far is not None else nodes.withColumn("component", F.lit(None).cast("bigint"))
     named = named.select("s1", "s2", F.coalesce("component", "node").alias("component"))
     out = docs.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id").eqNullSafe(F.col("component_id")), F.lit(False)))
