@@ -81,9 +81,9 @@ def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_longest_previous_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffixdup.removed(read(spark, sf_dir, "documents"), length=400)
+    found = suffixdup.removed(read(spark, sf_dir, "documents"), length=400, passage=200)
     n_removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
-    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_shared")
 
 
 def op9_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

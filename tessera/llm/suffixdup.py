@@ -9,7 +9,10 @@ where a repeat can be, and only to the depth that decides:
    anchor at the same offset.  Runs of strings with one anchor are its context.
 2. Anchors whose gram occurs once in the corpus can't be in a repeat and end
    here; all that moved is their hashes.
-3. A context that occurs twice as a whole is repeated as a whole.
+3. A context that occurs twice as a whole is repeated as a whole.  The commonest
+   ones, at most ``COMMON``, are broadcast to where the documents' contexts lie in
+   order, and neighbouring ones become one range there; the others meet in a
+   join, which so has no hot key.
 4. Other contexts with the same gram are brought together.  Their suffix array,
    by prefix doubling to depth ``length``, has equal strings beside each other in
    order of position; a position whose neighbour in suffix order with a smaller
@@ -37,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.cluster import partitions, table, whole_texts
-from tessera.llm.textkit import batches, mix, prefix_hash, slices, span_hash, texts_of
+from tessera.llm.cluster import Sieve, partitions, table, whole_texts
+from tessera.llm.textkit import HashTable, batches, mix, prefix_hash, slices, span_hash, texts_of
 
 LOWEST = -(1 << 63)
 PIECE = 4 << 20
@@ -185,10 +188,14 @@ def spans(rows: DataFrame, length: int = 400, keep_first: bool = False, gram: in
     shared = table(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     near = table(found.join(shared, "h", "left_semi"))
     contexts = table(near.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "k", "lo", "hi", "off")).alias("rep")))
-    whole = near.join(contexts.where("n > 1"), ["h", "c"])
+    # no more than COMMON contexts can occur this often
+    often = max(64, -(-near.count() // COMMON))
+    common = table(contexts.where(F.col("n") >= often).select("h", "c", "rep.d", "rep.k", "rep.lo"))
+    rare = near.join(F.broadcast(common.select("h", "c")), ["h", "c"], "left_anti")  # at most COMMON rows
+    whole = rare.join(contexts.where((F.col("n") > 1) & (F.col("n") < often)), ["h", "c"])
     if keep_first:
         whole = whole.where(~((F.col("d") == F.col("rep.d")) & (F.col("k") == F.col("rep.k")) & (F.col("lo") == F.col("rep.lo"))))
-    whole = whole.select("d", "k", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
+    whole = whole.select("d", "k", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop")).union(_common(found, common, length, keep_first))
     kinds = table(contexts.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1" if keep_first else "m > 1 and least = 1"))
     open_ = contexts.join(kinds.select("h", (F.col("m") > hot_contexts).alias("hot")), "h")
     wanted = open_.select(F.col("rep.d").alias("d"), F.col("rep.k").alias("k"), F.struct("h", "hot", F.col("rep.lo").alias("lo"), F.col("rep.hi").alias("hi"), F.col("rep.off").alias("off")).alias("w")).groupBy("d", "k").agg(F.collect_list("w").alias("ws"))
@@ -238,6 +245,38 @@ def spans(rows: DataFrame, length: int = 400, keep_first: bool = False, gram: in
     return result
 
 
+#: The most contexts that are broadcast.
+COMMON = 1 << 16
+
+
+def _common(found: DataFrame, common: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """Spans of the common contexts, neighbouring ones of a document as one; nothing is shuffled."""
+    held = common.toArrow()  # at most COMMON rows
+    h, c, d, k, lo = (held.column(i).to_numpy() for i in range(5))
+    order = np.argsort(c.view(np.uint64), kind="stable")
+    sent = found.sparkSession.sparkContext.broadcast(tuple(x[order] for x in (c.view(np.uint64), h, d, k, lo)))
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, *others = sent.value
+        # a context's hash is of its bytes and its gram's place in them, so equal ones have one gram
+        table_ = HashTable(keys)
+        for batch in source:
+            d, k, c, lo, hi = (batch.column(i).to_numpy() for i in range(5))
+            at = table_.find(c.view(np.uint64))
+            hit = at >= 0
+            if keep_first:
+                _, rd, rk, rlo = (x[np.maximum(at, 0)] if len(x) else x for x in others)
+                hit = hit & ~((rd == d) & (rk == k) & (rlo == lo)) if len(keys) else hit
+            d, k, start, stop = d[hit], k[hit], lo[hit], hi[hit] + length
+            new = np.ones(len(d), bool)
+            new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (start[1:] > stop[:-1]) | (start[1:] < start[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(d)) - 1 if len(d) else first
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d[first], k[first], start[first].astype(np.int32), stop[last].astype(np.int32))], names=["d", "k", "start", "stop"])
+
+    return found.select("d", "k", "c", "lo", "hi").mapInArrow(run, SPANS)
+
+
 #: Neighbouring strings of a block.
 BLOCK = 16
 
@@ -288,24 +327,74 @@ def _hot(bodies: DataFrame, length: int, keep_first: bool) -> DataFrame:
     return whole.union(met.select("d", "k", F.col("s").alias("start"), (F.col("s") + length).alias("stop")))
 
 
-def removed(df: DataFrame, length: int = 400, keep_first: bool = False, doc_id: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
-    """doc_id, n_bytes, spans (maximal removed byte runs) and kept (the other bytes) of each row."""
+def _ranges(found: DataFrame) -> DataFrame:
+    """d, k and the ranges of each row that has some."""
+    return table(found.groupBy("d", "k").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")))
+
+
+def _with_ranges(rows: DataFrame, ranges: DataFrame, k: str = "k", on: tuple[str, str] = ("d", "k")) -> DataFrame:
+    """``rows`` with their ranges, null for none; rows that have none are sieved out before texts are shuffled."""
+    sieve = Sieve(ranges, on[1])
+    met = sieve.passed(rows, F.col(k)).join(ranges, list(on), "left")
+    rest = sieve.left(rows, F.col(k))
+    if rest is None:
+        return met
+    name = ranges.columns[-1]
+    return met.unionByName(rest.withColumn(name, F.lit(None).cast(ranges.schema[name].dataType)))
+
+
+def _nested(rows: DataFrame, outer: DataFrame, length: int, **limits: int) -> DataFrame:
+    """Spans of strings of ``length`` bytes, looked for only in what repeats at a lesser length.
+
+    All strings of the lesser length inside a repeated string are repeated, so
+    each such string lies in one maximal run of ``outer``, at every place.
+    """
+    shape = "d bigint, k bigint, text string"
+
+    def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source):
+            texts, rs = texts_of(batch.column(2)), batch.column(3).to_pylist()
+            out = [(d, k, a, t[a:b]) for d, k, t, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, rs) for a, b in merged([(x["start"], x["stop"]) for x in r]) if b - a >= length]
+            columns = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["d", "k", "at", "body"])
+
+    sieve = Sieve(outer, "k")
+    parts = table(sieve.passed(rows, F.col("k")).join(outer, ["d", "k"]).select("d", "k", "text", "ranges").mapInArrow(cut, "d bigint, k bigint, at int, body binary"))
+    # a part is a row of its own: its place in its document goes into its key, which is unmade at the end
+    named = parts.select("d", "k", "at", F.xxhash64("k", "at").alias("p"), "body")
+    inner = spans(named.select("d", F.col("p").alias("k"), F.col("body").alias("text")), length, False, **limits)
+    return inner.withColumnRenamed("k", "p").join(named.select("d", "p", "k", "at"), ["d", "p"]).select("d", "k", (F.col("start") + F.col("at")).cast("int").alias("start"), (F.col("stop") + F.col("at")).cast("int").alias("stop"))
+
+
+def removed(df: DataFrame, length: int = 400, keep_first: bool = False, passage: int | None = None, doc_id: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
+    """doc_id, n_bytes, spans (maximal removed byte runs), kept (the other bytes) of each row, and n_shared.
+
+    With ``passage``, a lesser length, n_shared counts the bytes in strings of that
+    length that also start elsewhere; without, the removed bytes.
+    """
     rows = keyed(df, doc_id, text)
-    ranges = spans(rows, length, keep_first, **limits).groupBy("d", "k").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    outer = _ranges(spans(rows, length if passage is None else passage, keep_first and passage is None, **limits))
+    if passage is None:
+        both = outer.select("d", "k", F.struct("ranges", F.col("ranges").alias("inner")).alias("r"))
+    else:
+        inner = _ranges(_nested(rows, outer, length, **limits)).withColumnRenamed("ranges", "inner")
+        both = table(outer.join(inner, ["d", "k"], "left").select("d", "k", F.struct("ranges", "inner").alias("r")))
 
     def apply(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
             texts = texts_of(batch.column(1))
-            all_spans = [merged([(r["start"], r["stop"]) for r in rs]) if rs else [] for rs in batch.column(2).to_pylist()]
+            found = batch.column(2).to_pylist()
+            joined = lambda r, name: merged([(x["start"], x["stop"]) for x in r[name]]) if r and r[name] else []
+            all_spans, wide = [joined(r, "inner") for r in found], [joined(r, "ranges") for r in found]
             kept = []
             for t, ss in zip(texts, all_spans):
                 edges = [0, *(x for s in ss for x in s), len(t)]
                 kept.append(b"".join(t[a:b] for a, b in zip(edges[0::2], edges[1::2])) if ss else t)
             struct = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([[{"start": a, "stop": b} for a, b in ss] for ss in all_spans], struct), pa.array(kept, pa.binary())], names=["d", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([[{"start": a, "stop": b} for a, b in ss] for ss in all_spans], struct), pa.array(kept, pa.binary()), pa.array([sum(b - a for a, b in ss) for ss in wide], pa.int64())], names=["d", "n_bytes", "spans", "kept", "n_shared"])
 
-    out = rows.join(ranges, ["d", "k"], "left").select("d", "text", "ranges").mapInArrow(apply, "d bigint, n_bytes bigint, spans array<struct<start:int,stop:int>>, kept binary")
-    return out.select(F.when(F.col("d") != LOWEST, F.col("d")).alias("doc_id"), "n_bytes", "spans", "kept")
+    out = _with_ranges(rows, both).select("d", "text", "r").mapInArrow(apply, "d bigint, n_bytes bigint, spans array<struct<start:int,stop:int>>, kept binary, n_shared bigint")
+    return out.select(F.when(F.col("d") != LOWEST, F.col("d")).alias("doc_id"), "n_bytes", "spans", "kept", "n_shared")
 
 
 def clean(df: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
@@ -315,9 +404,9 @@ def clean(df: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str =
     word go.
     """
     d, k, ranges = "__suffix_d", "__suffix_k", "__suffix_ranges"  # beside any columns of the documents
-    found = spans(keyed(df, doc_id, text), length, True, **limits).groupBy(F.col("d").alias(d), F.col("k").alias(k)).agg(F.collect_list(F.struct("start", "stop")).alias(ranges))
+    found = _ranges(spans(keyed(df, doc_id, text), length, True, **limits)).toDF(d, k, ranges)
     named = df.withColumns({d: F.coalesce(df[doc_id].cast("bigint"), F.lit(LOWEST)), k: F.xxhash64(df[doc_id].cast("bigint"), df[text])})
-    joined = whole_texts(named).join(found, [d, k], "left").select(*(df[c] for c in df.columns), ranges)
+    joined = _with_ranges(whole_texts(named), found, k, (d, k)).select(*(F.col(f"`{c}`") for c in df.columns), ranges)
 
     def apply(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
