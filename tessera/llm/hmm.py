@@ -1,22 +1,28 @@
 """Hidden Markov language model.
 
 Symbols are the most frequent ``head`` words, one class for each ending of all
-other words, and the text's end.  Baum-Welch starts from a guess made in a few
-rounds on a bounded sample and then takes full passes over all training texts,
-until a pass gains at most ``gain`` of their log likelihood or ``passes`` are done:
-each task adds up its expected counts, blocks of symbols are summed across
-partitions, and the driver gets one states x symbols matrix of fixed size.  A
-text's likelihood is the scaled forward recursion over all its tokens, times,
-for each word outside the head, its share of its class.  A class keeps the
-Good-Turing mass of its words seen once for words never seen, so the model is a
-proper distribution over the known words and one unknown word a class.
+other words, and the text's end.  Baum-Welch takes ``alone`` passes and then at
+most ``passes`` more, each over all training texts: tasks add up their expected
+counts, blocks of symbols are summed across partitions, and the driver gets one
+states x symbols matrix of fixed size.  In the first passes steps between states
+are held at none, so a text is in one state and its likelihood is a product;
+they start from fixed random emissions, nothing is sampled, and how rows lie in
+partitions changes no more than roundings.  A text's likelihood is the scaled
+forward recursion over all its tokens, times, for each word outside the head,
+its share of its class.
+
+Every known word gives up the same discount (that of singletons and pairs) to
+words never seen, which are one unknown word a class, likelier where more words
+were seen once.  So the model is a proper distribution.
 
 The table of word counts grows with the corpus.  It is broadcast only up to
 ``broadcast_words`` rows; beyond, documents meet it in a join on the word's hash.
 
 Defined cases: a null text counts as empty and has the end token only; repeated
 rows are scored each; an empty table, or one with nothing to train on, gives the
-uniform model over the unknown word; other columns are ignored.
+uniform model over the unknown words; other columns are ignored.  Words of equal
+count at the head's edge are taken by their hash.  A text of n tokens needs some
+40 n x states bytes while it is learnt from.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.cluster import table, whole_texts
+from tessera.llm.cluster import drop, table, whole_texts
 from tessera.llm.textkit import BY_SPACE, HashTable, Words, batches, mix, slices, texts_of
 
 ENDINGS = 1024
@@ -90,6 +96,8 @@ class Lexicon:
     head_n: np.ndarray
     class_n: np.ndarray  # tokens of tail words
     class_once: np.ndarray  # tail words seen once
+    once: np.ndarray  # all words seen once, by class
+    twice: int
     total: int  # training tokens, ends included
     distinct: int  # distinct training tokens, the end included
     texts: int
@@ -98,12 +106,23 @@ class Lexicon:
     def symbols(self) -> int:
         return len(self.head) + ENDINGS + 1
 
+    @property
+    def discount(self) -> float:
+        n = float(self.once.sum())
+        return n / (n + 2 * self.twice + 1)
+
+    def freed(self) -> np.ndarray:
+        """What the head's words give up, dealt to the classes."""
+        share = self.once + 1.0
+        return (self.discount * len(self.head) + 0.1) * share / share.sum()
+
     def unknown(self) -> np.ndarray:
         """The share of each class that its unknown word has."""
-        return (self.class_once + 1.0) / (self.class_n + 2.0) * (self.class_n > 0) + (self.class_n == 0)
+        freed = self.freed()
+        return (self.discount * self.class_once + freed) / (self.class_n + freed)
 
     def unigram(self) -> np.ndarray:
-        p = np.concatenate([self.head_n + 0.1, self.class_n + 0.1, [self.texts + 0.1]])
+        p = np.concatenate([self.head_n - self.discount, self.class_n + self.freed(), [self.texts + 0.1]])
         return p / p.sum()
 
     def sequences(self, texts: list[bytes], find: HashTable) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -246,64 +265,89 @@ class Hmm:
         # a piece's scales follow from the weights that enter it, so theirs multiply to the sequence's likelihood
         return starts, steps * self.step, emitted, float(sum(np.log(s).sum(dtype=float) for s in scales))
 
+    def expect_alone(self, symbols: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """As expect_and_like where no step leaves a state: each text is in one."""
+        k, n = len(self.start), len(begin) - 1
+        if not n:
+            return np.zeros(k), np.zeros((k, k)), np.zeros((len(self.emit), k)), 0.0
+        each = np.add.reduceat(np.log(self.emit).astype(np.float32)[symbols], begin[:-1], axis=0, dtype=float) + np.log(self.start)
+        most = each.max(1, keepdims=True)
+        weight = np.exp(each - most)
+        total = weight.sum(1, keepdims=True)
+        weight /= total
+        gamma = np.repeat(weight, np.diff(begin), axis=0)
+        emitted = np.stack([np.bincount(symbols, gamma[:, j], len(self.emit)) for j in range(k)], 1)
+        return weight.sum(0), np.diag((np.diff(begin) - 1) @ weight), emitted, float((most + np.log(total)).sum())
+
     @staticmethod
-    def estimate(starts: np.ndarray, steps: np.ndarray, emitted: np.ndarray, unigram: np.ndarray, prior: float) -> Hmm:
-        """The M step; the unigram distribution is the emissions' prior."""
-        emitted = emitted + prior * unigram[:, None]
-        return Hmm((starts + 0.1) / (starts + 0.1).sum(), (steps + 0.1) / (steps + 0.1).sum(1, keepdims=True), emitted / emitted.sum(0))
-
-
-def guess(texts: list[bytes], lexicon: Lexicon, states: int, rounds: int, prior: float, seed: int = 7) -> Hmm:
-    """Baum-Welch on a few texts from sticky random states."""
-    rng = np.random.default_rng(seed)
-    unigram = lexicon.unigram()
-    find = HashTable(lexicon.head)
-    noise = rng.gamma(1.0, 1.0, (lexicon.symbols, states)) + 0.05
-    emit = unigram[:, None] * noise
-    model = Hmm(np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(0))
-    seen = [lexicon.sequences(texts[a:b], find)[3:] for a, b in slices(texts)]
-    for _ in range(rounds if seen else 0):
-        total = None
-        for symbols, begin in seen:
-            part = model.expect(symbols, begin)
-            total = part if total is None else tuple(x + y for x, y in zip(total, part))
-        model = Hmm.estimate(*total, unigram, prior)
-    return model
+    def estimate(starts: np.ndarray, steps: np.ndarray, emitted: np.ndarray, unigram: np.ndarray, prior: float, alone: bool = False) -> Hmm:
+        """The M step; the unigram distribution is the emissions' prior, with ``prior`` times a state's own weight."""
+        emitted = emitted + (prior * emitted.sum(0) + 1.0) * unigram[:, None]
+        start = (starts + 0.1) / (starts + 0.1).sum()
+        # after passes without steps, a tenth of them may go anywhere
+        step = 0.9 * np.eye(len(start)) + 0.1 * start if alone else (steps + 0.1) / (steps + 0.1).sum(1, keepdims=True)
+        return Hmm(start, step, emitted / emitted.sum(0))
+
+
+def beginning(lexicon: Lexicon, states: int, seed: int = 7) -> Hmm:
+    """States whose emissions differ by fixed random factors."""
+    noise = np.random.default_rng(seed).gamma(1.0, 1.0, (lexicon.symbols, states)) + 0.05
+    emit = lexicon.unigram()[:, None] * noise
+    return Hmm(np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(0))
 
 
 BLOCK = 512
 
 
-def expected_counts(df: DataFrame, lexicon: Lexicon, model: Hmm, text: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """One E step over all rows, and their log likelihood: summed by task, then by block of symbols across tasks."""
-    states, symbols = model.emit.shape[1], lexicon.symbols
-    sent = df.sparkSession.sparkContext.broadcast((lexicon, model))  # of fixed size: head, classes, states
+def encoded(df: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
+    """Each text's symbols as little-endian 32-bit numbers (written): what the passes read instead of texts."""
+    sent = df.sparkSession.sparkContext.broadcast(lexicon)  # of fixed size: head and classes
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, model = sent.value
-        find = HashTable(lexicon.head)
-        total = None
+        find = HashTable(sent.value.head)
         for batch in batches(source):
             texts = texts_of(batch.column(0))
             for a, b in slices(texts):
-                part = model.expect_and_like(*lexicon.sequences(texts[a:b], find)[3:])
-                total = part if total is None else tuple(x + y for x, y in zip(total, part))
+                symbols, begin = sent.value.sequences(texts[a:b], find)[3:]
+                body = pa.py_buffer(symbols.astype("<i4"))
+                yield pa.RecordBatch.from_arrays([pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer((begin * 4).astype("<i8")), body]).cast(pa.binary())], names=["symbols"])
+
+    return table(whole_texts(df).select(df[text].alias("text")).mapInArrow(run, "symbols binary"))
+
+
+def expected_counts(sequences: DataFrame, lexicon: Lexicon, model: Hmm, alone: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """One E step over all rows of ``encoded``, and their log likelihood: summed by task, then by block of symbols across tasks."""
+    states, symbols = model.emit.shape[1], lexicon.symbols
+    sent = sequences.sparkSession.sparkContext.broadcast(model)  # of fixed size: symbols x states
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = sent.value.expect_alone if alone else sent.value.expect_and_like
+        total = None
+        for batch in batches(source, 4 << 20):
+            own = [np.frombuffer(x, "<i4") for x in batch.column(0).to_pylist()]
+            part = step(np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])]))
+            if total is None:
+                total = list(part)
+            else:
+                for x, y in zip(total[:3], part):
+                    x += y
+                total[3] += part[3]
         if total is None:
             return
         flat = [np.concatenate([total[0], total[1].ravel(), [total[3]]])] + [total[2][i : i + BLOCK].ravel() for i in range(0, symbols, BLOCK)]
         salt = TaskContext.get().partitionId() // 64
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(np.full(len(flat), salt), pa.int32()), pa.array([x.astype("<f4").tobytes() for x in flat], pa.binary())], names=["block", "salt", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(np.full(len(flat), salt), pa.int32()), pa.array([x.astype("<f4" if i else "<f8").tobytes() for i, x in enumerate(flat)], pa.binary())], names=["block", "salt", "v"])
 
     def add(batch: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(v.as_py(), "<f4").astype(float) for v in batch.column("v"))
-        return pa.table({"block": batch.column("block")[:1], "salt": pa.array([0], pa.int32()), "v": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+        kind = "<f4" if batch.column("block")[0].as_py() else "<f8"
+        total = sum(np.frombuffer(v.as_py(), kind).astype(float) for v in batch.column("v"))
+        return pa.table({"block": batch.column("block")[:1], "salt": pa.array([0], pa.int32()), "v": pa.array([total.astype(kind).tobytes()], pa.binary())})
 
     shape = "block int, salt int, v binary"
-    parts = whole_texts(df).select(df[text].alias("text")).mapInArrow(run, shape)
-    summed = parts.groupBy("block", "salt").applyInArrow(add, shape).groupBy("block").applyInArrow(add, shape)
+    summed = sequences.mapInArrow(run, shape).groupBy("block", "salt").applyInArrow(add, shape).groupBy("block").applyInArrow(add, shape)
     collected = summed.collect()
     sent.unpersist()
-    blocks = {r.block: np.frombuffer(r.v, "<f4").astype(float) for r in collected}  # states x symbols numbers
+    blocks = {r.block: np.frombuffer(r.v, "<f4" if r.block else "<f8").astype(float) for r in collected}  # states x symbols numbers
     if not blocks:
         return np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states)), 0.0
     emitted = np.concatenate([blocks[i] for i in range(1, len(blocks))]).reshape(symbols, states)
@@ -317,14 +361,16 @@ class Trained:
     words: DataFrame
 
 
-def train(df: DataFrame, text: str = "text", states: int = 12, head: int = 1 << 16, sample: int = 1000, rounds: int = 3, passes: int = 12, prior: float = 100.0, gain: float = 1e-3) -> Trained:
-    """Learns from all rows of ``df``; ``sample`` texts at most make the first guess only."""
+def train(df: DataFrame, text: str = "text", states: int = 10, head: int = 1 << 16, alone: int = 3, passes: int = 2, prior: float = 0.1, gain: float = 1e-3) -> Trained:
+    """Learns from all rows of ``df`` in ``alone`` + ``passes`` passes, fewer of the latter if one gains at most ``gain`` of the log likelihood."""
     words = table(word_counts(df, text))
     texts = df.count()
-    class_n, class_once, distinct = np.zeros(ENDINGS), np.zeros(ENDINGS), 0
-    for r in words.groupBy("ending").agg(F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("int")).alias("once"), F.count("*").alias("words")).collect():  # ENDINGS rows
+    class_n, class_once, distinct, twice = np.zeros(ENDINGS), np.zeros(ENDINGS), 0, 0
+    times = lambda n, name: F.sum((F.col("n") == n).cast("int")).alias(name)
+    for r in words.groupBy("ending").agg(F.sum("n").alias("n"), times(1, "once"), times(2, "twice"), F.count("*").alias("words")).collect():  # ENDINGS rows
         class_n[r.ending], class_once[r.ending] = r.n, r.once
         distinct += r.words
+        twice += r.twice
     # a count that about head words reach, so that no more are ever sorted in one place
     least = 0
     if distinct > 2 * head:
@@ -333,22 +379,22 @@ def train(df: DataFrame, text: str = "text", states: int = 12, head: int = 1 <<
     top_hash = top.column("hash").to_numpy().view(np.uint64)
     top_n, top_ending = top.column("n").to_numpy(), top.column("ending").to_numpy()
     order = np.argsort(top_hash)
-    total = int(class_n.sum()) + texts
+    total, once = int(class_n.sum()) + texts, class_once.copy()
     np.subtract.at(class_n, top_ending, top_n)
     np.subtract.at(class_once, top_ending, top_n == 1)
-    lexicon = Lexicon(top_hash[order], top_n[order].astype(float), class_n, class_once, total, distinct + (texts > 0), texts)
-    # about four times the wanted texts are drawn by a hash of their place, and the first of those taken
-    drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30))
-    few = df.select(F.col(text).alias("text"), drawn.alias("at")).where(F.col("at") <= min(1.0, 4 * sample / max(texts, 1)) * (1 << 30))
-    some = [(r.text or "").encode() for r in few.orderBy("at").limit(sample).toLocalIterator()] if texts else []
-    model = guess(some, lexicon, states, rounds, prior)
+    lexicon = Lexicon(top_hash[order], top_n[order].astype(float), class_n, class_once, once, twice, total, distinct + (texts > 0), texts)
+    sequences = encoded(df, lexicon, text)
+    model, unigram = beginning(lexicon, states), lexicon.unigram()
+    for _ in range(alone):
+        model = Hmm.estimate(*expected_counts(sequences, lexicon, model, True)[:3], unigram, prior, True)
     before = -np.inf
     for _ in range(passes):
-        *counts, like = expected_counts(df, lexicon, model, text)
-        model = Hmm.estimate(*counts, lexicon.unigram(), prior)
+        *counts, like = expected_counts(sequences, lexicon, model)
+        model = Hmm.estimate(*counts, unigram, prior)
         if like - before <= gain * abs(like):
             break
         before = like
+    drop(sequences)
     return Trained(lexicon, model, words)
 
 
@@ -391,7 +437,7 @@ def score(df: DataFrame, trained: Trained, doc_id: str = "doc_id", text: str = "
         for batch in batches(source):
             texts = texts_of(batch.column(1))
             columns: list[list[np.ndarray]] = [[], [], [], []]
-            for a, b in slices(texts):
+            for a, b in slices(texts, 4 << 20):
                 words, hashes, at, symbols, begin = lexicon.sequences(texts[a:b], find)
                 like = model.forward(symbols, begin) / np.log(10)
                 owner = np.repeat(np.arange(b - a), words.counts)
@@ -418,7 +464,7 @@ def score(df: DataFrame, trained: Trained, doc_id: str = "doc_id", text: str = "
         for batch in batches(source, 2 << 20):
             texts = texts_of(batch.column(1))
             k1, k2 = (batch.column(i).to_numpy() for i in (2, 3))
-            for a, b in slices(texts):
+            for a, b in slices(texts, 4 << 20):
                 words = Words(texts[a:b], BY_SPACE)
                 hashes, ending = words.hashes(), endings(words)
                 owner = np.repeat(np.arange(a, b), words.counts)

@@ -39,7 +39,7 @@ def rows(df, key="doc_id"):
 
 def test_hmm(docs, none):
     train = docs.where("doc_id <> 9 or doc_id is null")
-    m = hmm.train(train, states=3, head=6, rounds=3)
+    m = hmm.train(train, states=3, head=6)
     got = hmm.score(docs, m)
     far = hmm.score(docs, m, broadcast_words=0)
     counts = collections.Counter(w for i, t, *_ in DOCS if i != 9 for w in [*(t or "").encode().lower().split(), "end"])
@@ -54,14 +54,14 @@ def test_hmm(docs, none):
         assert len(a[i]) == len(b[i]) == sum(x[0] == i for x in DOCS)
         assert (b[i][0].n_known, b[i][0].base_score, b[i][0].score) == pytest.approx((r.n_known, r.base_score, r.score))
     assert hmm.score(none, m).count() == 0
-    nothing = hmm.score(docs, hmm.train(none, states=2, head=4, rounds=1))
+    nothing = hmm.score(docs, hmm.train(none, states=2, head=4))
     assert nothing.count() == len(DOCS) and nothing.where("isnan(score) or n_known > 0").count() == 0
 
 
 def test_hmm_is_a_distribution(spark):
     texts = ["a b a c", "b b d", "a e f g h", "c c c"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    m = hmm.train(df, states=2, head=3, rounds=4)
+    m = hmm.train(df, states=2, head=3)
     # all one-word texts and the unknown word of each class, plus the end alone: at most 1
     words = sorted({w for t in texts for w in t.split()})
     one = hmm.score(spark.createDataFrame([(i, w) for i, w in enumerate([*words, ""])], "doc_id bigint, text string"), m)
@@ -70,14 +70,24 @@ def test_hmm_is_a_distribution(spark):
 
 def test_hmm_converges_on_all_texts(spark):
     rng = np.random.default_rng(5)
-    # the sample sees few of the texts, and hardly any of the rare language
+    # a rare language beside a common one
     texts = [" ".join(f"{'r' if i % 25 == 0 else 'c'}{w}" for w in rng.zipf(1.5, 30) % 40) for i in range(400)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").cache()
-    m = hmm.train(df, states=4, head=200, sample=5, prior=1.0)
-    more = hmm.Hmm.estimate(*hmm.expected_counts(df, m.lexicon, m.model)[:3], m.lexicon.unigram(), 1.0)
+    m = hmm.train(df, states=4, head=200, passes=30)
+    sequences = hmm.encoded(df, m.lexicon)
+    more = hmm.Hmm.estimate(*hmm.expected_counts(sequences, m.lexicon, m.model)[:3], m.lexicon.unigram(), 0.1)
     was, now = (hmm.score(df, hmm.Trained(m.lexicon, x, m.words)).agg(F.sum("score")).first()[0] for x in (m.model, more))
     assert now - was <= 2e-3 * abs(was)
-    assert hmm.expected_counts(df, m.lexicon, m.model)[3] == pytest.approx(was * np.log(10), rel=1e-4)
+    assert hmm.expected_counts(sequences, m.lexicon, m.model)[3] == pytest.approx(was * np.log(10), rel=1e-4)
+
+
+def test_hmm_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(5)
+    topics = [[f"{chr(97 + t)}{i}" for i in range(60)] for t in range(4)]
+    texts = [(i, " ".join(rng.choice(topics[i % 4], int(rng.integers(1, 60))))) for i in range(1500)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    some, other = ({r.doc_id: r.score for r in hmm.score(df, hmm.train(df.repartition(n), states=5, head=150)).collect()} for n in (3, 7))
+    assert max(abs(some[i] - other[i]) for i in some) < 1e-3
 
 
 def test_fingerprints(docs, none):
