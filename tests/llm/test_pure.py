@@ -2,6 +2,8 @@
 
 import collections
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -285,6 +287,53 @@ def test_extract_two_layouts():
     assert html.extract([two[0], *one, *two[1:]]) == ["thing 0", *(f"news {i}" for i in range(4)), "thing 1", "thing 2"]
 
 
+def unnamed_pages(n=12):
+    """Pages without a telling tag or class; menus, adverts and footers vary like articles do."""
+    rng = random.Random(4)
+    some = lambda k: " ".join(rng.choice(["ba", "ce", "du", "fo", "ge"]) + str(rng.randrange(99)) for _ in range(k))
+    pages, want = [], []
+    for _ in range(n):
+        parts = [some(4), *(some(rng.randrange(15, 60)) for _ in range(rng.randrange(1, 6)))]
+        menu = "".join(f"<li><a href=/{i}>{some(1)}</a></li>" for i in range(6))
+        pages.append(f"<body><div><ul>{menu}</ul></div><div>{some(6)}</div><div><h1>{parts[0]}</h1>" + "".join(f"<p>{x}</p>" for x in parts[1:]) + f"<div>All about it</div></div><div>{some(7)}</div></body>")
+        want.append("\n\n".join(parts))
+    return pages, want
+
+
+def test_extract_is_decided_by_alignment(monkeypatch):
+    pages, want = unnamed_pages()
+    assert html.extract(pages) == want
+    # tags that name the article agree with what alignment finds without them
+    named = [re.sub(r"<div>(<h1>.*</div>)</div><div>", r"<article>\1</article><div>", p) for p in pages]
+    assert all("<article>" in p for p in named) and html.extract(named) == want
+    monkeypatch.setattr(html, "match", lambda a, b, pairs: 0)
+    assert not any(x == y for x, y in zip(html.extract(pages), want))
+
+
+def test_extract_names_need_a_slot():
+    body = "<article><h1>{0}</h1><p>story {0}</p>{1}</article>"
+    box = "<div class='share box'><p>tell {}</p></div>"
+    pages = [body.format(i, box.format(i)) for i in range(8)]
+    assert html.extract(pages)[2] == "2\n\nstory 2"
+    one = [body.format(i, "<div class=discussion>talk</div><p class='share-price'>9</p>" if i == 3 else "") for i in range(8)]
+    assert html.extract(one)[3] == "3\n\nstory 3\n\ntalk\n\n9"
+
+
+def test_extract_leaks_no_markup():
+    assert html.extract(["<article><p title=it's>One</p><math><mi>x</mi></math></article>"]) == ["One\n\nx"]
+    assert html.extract(["<p><a href=\"x>y\" b='c>d'>in</a> out <i"]) == ["in out"]
+
+
+def test_extract_many_siblings():
+    rng = random.Random(2)
+    kinds = ["<p>{}</p>", "<ul><li>{}</li></ul>", "<h4>{}</h4>", "<p><b>{}</b></p>"]
+    numbers = [[rng.random() for _ in range(20_000)] for _ in range(2)]
+    pages = ["<body><article>" + "".join(rng.choice(kinds).format(x) for x in xs) + "</article></body>" for xs in numbers]
+    began = time.process_time()
+    assert html.extract(pages) == ["\n\n".join(map(str, xs)) for xs in numbers]
+    assert time.process_time() - began < 30
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 128, 129, 200, 1000])
 def test_even_sets(n):
     pages = [(i, k, f"p{i}") for i in range(n) for k in range(2)]

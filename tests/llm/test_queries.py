@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import html.parser
 from pathlib import Path
 
 import pytest
@@ -56,6 +57,37 @@ def test_op10(spark, duck):
     assert (got.predicted == got.quality).mean() > 0.9
 
 
+class Article(html.parser.HTMLParser):
+    """A plain version for the given pages, all of which name their article: its blocks, one after another."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        self.blocks += [""] * (tag in ("article", "p", "h1"))
+        self.blocks[-1] += " " * (tag == "br")
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        self.blocks += [""] * (tag in ("p", "h1"))
+
+    def handle_data(self, data):
+        self.blocks[-1] += data * self.inside
+
+
+def test_op4(spark, duck):
+    got = {r.page_id: r for r in queries.op4_wrapper_induction(spark, str(DATA)).collect()}
+    rows = duck.sql("select page_id, url, html from pages").fetchall()
+    assert len(rows) == len(got)
+    for page_id, url, page in rows:
+        plain = Article()
+        plain.feed(page)
+        want = "\n\n".join(" ".join(b.split()) for b in plain.blocks if b.strip())
+        assert (got[page_id].url, got[page_id].text, got[page_id].n_chars) == (url, want, len(want))
+
+
 @pytest.mark.parametrize("name", ["op2_canonical_digest", "op3_longest_processing_time", "op4_wrapper_induction", "op6_harmonic_packing"])
 def test_rows(spark, duck, name):
     df = queries.queries()[name](spark, str(DATA))
