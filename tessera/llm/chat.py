@@ -1,10 +1,12 @@
 """Chat formatting by schema fingerprints, with DataFrame and SQL functions only.
 
-A layout is known by its fingerprint: the xxhash64 of its sorted nested field
-paths.  The fingerprint of each JSON record selects a declarative mapping (a
-dictionary of SQL expressions); a table is matched without a hash, by its
-schema's paths, and has one mapping for all rows.  It turns the layout
-into canonical turns: an array of (role, text) in order.  Canonical turns are
+A layout is known by its fingerprint: the xxhash64 of its nested field paths, in
+order of their names, whatever their depth and the types at their ends.  The
+fingerprint selects a declarative mapping, a dictionary of SQL expressions from
+hashes, that turns the layout into canonical turns: an array of (role, text) in
+order.  A table has the fingerprint of its schema; where that has the columns of
+several layouts, each row has that of its columns that are not null.  Each JSON
+record has its own, and is parsed once.  Canonical turns are
 then written in one template whose marks can't be made by a text: control
 strings inside texts get a backslash after their first character, control
 strings with backslashes there get one more, and reading takes one away.
@@ -15,17 +17,19 @@ for assistant turns, <s>[TURN:role] text [/TURN]</s> for any other role.
 Defined cases: a null text is empty and a null role is the empty role; turns
 with equal numbers are ordered by role, then text; repeated rows are turns
 each; a conversation whose id is null is one conversation; an empty table gives
-no rows; a layout with no mapping raises for a table, gives a null for a record.
+no rows; a layout with no mapping raises for a table, gives a null for a row or
+record.  A table's columns that no layout has are ignored, as is its id.  Very
+long conversations are one value each, so must fit in a task.
 """
 
 from __future__ import annotations
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-
 def paths(kind: T.DataType, at: str = "") -> list[str]:
     """The nested field paths of a type; an array's elements are at []."""
     if isinstance(kind, T.StructType):
@@ -54,58 +58,91 @@ LAYOUTS: dict[tuple[str, ...], str] = {
 TURN_ROWS = ("role", "text", "turn")
 
 
-def _json_type(layout: tuple[str, ...]) -> str:
-    fields: dict[str, list[str]] = {}
+def shape(layout: tuple[str, ...] | set[str]) -> str:
+    """Nested field paths as one text: fields by name, what they hold in brackets, the types at the ends left out."""
+    tree: dict = {}
     for p in layout:
-        name, _, inner = p.partition("[].")
-        fields.setdefault(name, []).extend([inner] if inner else [])
-    return ", ".join(f"`{n}` " + (f"array<struct<{', '.join(f'`{i}`: string' for i in inner)}>>" if inner else "string") for n, inner in fields.items())
+        at = tree
+        for part in p.replace("[]", ".[]").split("."):
+            at = at.setdefault(part, {})
+
+    def written(t: dict) -> str:
+        if "[]" in t:
+            return f"ARRAY<{written(t['[]'])}>"
+        return "OBJECT<" + ", ".join(n + (f": {inner}" if (inner := written(x)) else "") for n, x in sorted(t.items())) + ">" if t else ""
+
+    return written(tree)
+
 
+def fingerprint(shape_: str) -> int:
+    """The hash of a shape, as xxhash64 of SQL gives it."""
+    h = xxhash.xxh64_intdigest(shape_.encode(), seed=42)
+    return h - (1 << 64) if h >= 1 << 63 else h
 
-def fingerprint(sorted_paths: Column) -> Column:
-    """A layout's fingerprint: the hash of its sorted nested field paths."""
-    return F.xxhash64(F.array_join(sorted_paths, ","))
 
+#: The layouts by their fingerprints; turns in rows of their own are one of them.
+MAPPINGS = {fingerprint(shape(layout)): layout for layout in [TURN_ROWS, *LAYOUTS]}
 
-def record_paths(record: Column) -> Column:
-    """Sorted field paths of a JSON record: its fields, and its arrays' objects' fields."""
-    fields = F.from_json(record, "map<string, string>")
 
-    def inside(name: Column, value: Column) -> Column:
-        keys = F.flatten(F.transform(F.from_json(value, "array<map<string, string>>"), lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>"))))
-        return F.when(F.size(keys) > 0, F.transform(F.array_distinct(keys), lambda k: F.concat(name, F.lit("[]."), k))).otherwise(F.array(name))
+def _type(layout: tuple[str, ...]) -> str:
+    """A layout as a type, its ends strings."""
+
+    def written(inner: dict) -> str:
+        if "[]" in inner:
+            return f"array<{written(inner['[]'])}>"
+        return "struct<" + ", ".join(f"`{n}`: {written(x)}" for n, x in inner.items()) + ">" if inner else "string"
+
+    tree: dict = {}
+    for p in layout:
+        at = tree
+        for part in p.replace("[]", ".[]").split("."):
+            at = at.setdefault(part, {})
+    return written(tree)
 
-    return F.array_sort(F.flatten(F.transform(F.map_entries(fields), lambda e: inside(e["key"], e["value"]))))
 
+def record_fingerprint(variant: Column) -> Column:
+    """The fingerprint of a parsed JSON value of any depth."""
+    kind = F.schema_of_variant(variant)
+    return F.xxhash64(F.regexp_replace(F.regexp_replace(kind, r"(: |<)(?!OBJECT<|ARRAY<)[A-Z_]+(?:\([0-9, ]*\))?(?=[,>])", "$1"), ": (?=[,>])", ""))
 
-def _known(layout: tuple[str, ...]) -> Column:
-    return fingerprint(F.array(*(F.lit(p) for p in sorted(layout))))
+
+def _mapped(rows: DataFrame, records: dict[tuple[str, ...], Column]) -> DataFrame:
+    """conv_id and turns of rows with conv_id and _layout, a fingerprint that selects one of ``records``."""
+    known = [(h, layout) for h, layout in MAPPINGS.items() if layout in records]
+    picked = rows.select("conv_id", *(F.when(F.col("_layout") == h, records[layout]).alias(f"_r{i}") for i, (h, layout) in enumerate(known)))
+    as_text = "t -> named_struct('role', cast(t.role as string), 'text', cast(t.text as string))"
+    turns = (F.expr(f"CASE WHEN _r{i} IS NOT NULL THEN transform({LAYOUTS[layout].format(r=f'_r{i}')}, {as_text}) END") for i, (_, layout) in enumerate(known))
+    return picked.select("conv_id", F.coalesce(F.lit(None), *turns).alias("turns"))
 
 
 def turns_of_records(df: DataFrame, record: str = "record", conv_id: str = "conv_id") -> DataFrame:
     """conv_id and turns of JSON records of any mix of known layouts; turns is null for an unknown one."""
-    rows = df.select(df[conv_id].cast("bigint").alias("conv_id"), df[record].alias("_json")).withColumn("_layout", fingerprint(record_paths(F.col("_json"))))
-    parsed = rows.select("*", *(F.when(F.col("_layout") == _known(layout), F.from_json("_json", _json_type(layout))).alias(f"_r{i}") for i, layout in enumerate(LAYOUTS)))
-    turns = F.coalesce(*(F.expr(f"CASE WHEN _r{i} IS NOT NULL THEN {mapping.format(r=f'_r{i}')} END") for i, mapping in enumerate(LAYOUTS.values())))
-    return parsed.select("conv_id", turns.alias("turns"))
+    parsed = df.select(df[conv_id].cast("bigint").alias("conv_id"), F.try_parse_json(df[record]).alias("_v"))
+    rows = parsed.withColumn("_layout", record_fingerprint(F.col("_v")))
+    return _mapped(rows, {layout: F.try_variant_get("_v", "$", _type(layout)) for layout in LAYOUTS})
 
 
 def turns_of_table(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
-    """conv_id and turns of a table; its layout is the known one with the most paths that its schema has.
-
-    The id column and columns beside the layout's are ignored.
-    """
+    """conv_id and turns of a table, by the fingerprint of its schema, or of each row where the schema has none of its own."""
     have = {p for p in paths(df.schema) if p != conv_id}
-    fits = sorted((x for x in [TURN_ROWS, *LAYOUTS] if set(x) <= have), key=len, reverse=True)
-    if not fits:
-        raise ValueError(f"no mapping for a layout with the paths {sorted(have)}")
-    layout = fits[0]
-    if layout == TURN_ROWS:
+    ids = df[conv_id].cast("bigint").alias("conv_id")
+    if MAPPINGS.get(fingerprint(shape(have & set(TURN_ROWS)))) == TURN_ROWS:
         turn = F.struct(df["turn"].alias("turn"), df["role"].alias("role"), df["text"].alias("text"))
-        rows = df.select(df[conv_id].cast("bigint").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+        rows = df.select(ids, turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
         return rows.select("conv_id", F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    record = F.struct(*(df[c] for c in dict.fromkeys(p.split("[]")[0].split(".")[0] for p in layout)))
-    return df.select(df[conv_id].cast("bigint").alias("conv_id"), record.alias("_r")).select("conv_id", F.expr(LAYOUTS[layout].format(r="_r")).alias("turns"))
+    told = have & {p for layout in LAYOUTS for p in layout}
+    columns = sorted({p.split("[]")[0].split(".")[0] for p in told})
+    record = lambda layout: F.struct(*(df[c] for c in dict.fromkeys(p.split("[]")[0].split(".")[0] for p in layout)))
+    own = fingerprint(shape(told))
+    if own in MAPPINGS:
+        return _mapped(df.select(ids, F.lit(own).alias("_layout"), *(df[c] for c in columns)), {MAPPINGS[own]: record(MAPPINGS[own])})
+    fits = [layout for h, layout in MAPPINGS.items() if set(layout) <= told]
+    if not fits:
+        raise ValueError(f"no mapping for a layout with the paths {sorted(have)}")
+    inner = {c: shape({p for p in told if p.split("[]")[0].split(".")[0] == c})[len("OBJECT<") : -1] for c in columns}
+    there = F.concat_ws(", ", *(F.when(df[c].isNotNull(), inner[c]) for c in columns))
+    rows = df.select(ids, F.xxhash64(F.concat(F.lit("OBJECT<"), there, F.lit(">"))).alias("_layout"), *(df[c] for c in columns))
+    return _mapped(rows, {layout: record(layout) for layout in fits})
 
 
 #: What follows the first character of a control string, after any backslashes.

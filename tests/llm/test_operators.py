@@ -340,3 +340,28 @@ def test_chat_layouts(spark):
     assert [t.text for t in chat.turns_of_table(table).first().turns] == ["q", "a"]
     with pytest.raises(ValueError):
         chat.turns_of_table(spark.createDataFrame([(1, 2)], "conv_id bigint, z int"))
+
+
+def test_chat_tables(spark):
+    pair = [("user", "q"), ("assistant", "a")]
+    nested = spark.createDataFrame([(1, [("user", "q", 5), ("assistant", "a", 6)], "z")], "conv_id bigint, messages array<struct<role:string,content:string,tokens:int>>, lang string")
+    mixed = spark.createDataFrame([(1, "q", "a", None, None), (2, None, None, "q", "a"), (3, "q", None, None, "a")], "conv_id bigint, prompt string, response string, question string, answer string")
+    said = lambda df: {r.conv_id: r.turns and [(t.role, t.text) for t in r.turns] for r in chat.turns_of_table(df).collect()}
+    assert said(nested) == {1: pair}
+    assert said(mixed) == {1: pair, 2: pair, 3: None}
+
+
+def test_chat_fingerprints_select(spark, monkeypatch):
+    """The hashes are those of SQL, and a changed one finds no mapping."""
+    record = {"conversations": [{"from": "human", "value": None}, {"value": 3, "from": "gpt"}]}
+    df = spark.createDataFrame([(1, json.dumps(record)), (2, json.dumps({"messages": [{"content": {"parts": [["x"]]}, "role": "user"}]}))], "conv_id bigint, record string")
+    found = [r[0] for r in df.orderBy("conv_id").select(chat.record_fingerprint(F.parse_json("record"))).collect()]
+    assert found == [chat.fingerprint(chat.shape(x)) for x in [("conversations[].from", "conversations[].value"), ("messages[].content.parts[][]", "messages[].role")]]
+    got = {r.conv_id: r.turns for r in chat.turns_of_records(df).collect()}
+    assert [(t.role, t.text) for t in got[1]] == [("user", None), ("assistant", "3")] and got[2] is None
+    table = spark.createDataFrame([(1, 0, "user", "q")], "conv_id bigint, turn int, role string, text string")
+    assert chat.turns_of_table(table).count() == 1
+    monkeypatch.setattr(chat, "MAPPINGS", {h + 1: layout for h, layout in chat.MAPPINGS.items()})
+    assert chat.turns_of_records(df).where("turns is not null").count() == 0
+    with pytest.raises(ValueError):
+        chat.turns_of_table(table)
