@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or, in one process only, one of our own where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("a cluster needs a folder that all executors share in spark.checkpoint.dir")
         folder = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -104,3 +107,14 @@ class Sieve:
     def left(self, df: DataFrame, key: Column) -> DataFrame | None:
         """The other rows; None where all pass."""
         return None if self.bits is None else self._join(df, key, "left_anti")
+
+
+def with_found(rows: DataFrame, found: DataFrame, key: str, on: list[str]) -> DataFrame:
+    """``rows`` with the last column of ``found``, null for none; rows that have none are sieved out before texts are shuffled.
+
+    ``found`` is a written table with a row for each value of ``on``, of which ``key``, a bigint, is the last.
+    """
+    name, sieve = found.columns[-1], Sieve(found, key)
+    met = sieve.passed(rows, F.col(key)).join(found, on, "left")
+    rest = sieve.left(rows, F.col(key))
+    return met if rest is None else met.unionByName(rest.withColumn(name, F.lit(None).cast(found.schema[name].dataType)))

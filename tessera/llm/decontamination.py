@@ -1,13 +1,21 @@
-"""Benchmark decontamination with a generalised suffix automaton.
+"""Benchmark decontamination with generalised suffix automata.
 
-All benchmark items, as sequences of word numbers, go into one suffix automaton
-(for each block of items of bounded size).  A training document's words stream
-through it, which gives the longest item substring that ends at each word; a
-match of ``window`` words, or a whole item shorter than that, marks its words.
-Only runs of item words can match, so the words outside are skipped at C speed.
+Benchmark items, as sequences of word numbers, are dealt by hash to blocks of
+about ``block_words`` words.  Tasks build one suffix automaton a block, which is
+written.  A training document's words stream through it, which gives the longest
+item substring that ends at each word; a match of ``window`` words, or a whole
+item shorter than that, marks its words.  Only runs of item words can match, so
+the words outside are skipped at C speed.
 
-Defined cases: a null text has no words; an item without words matches nothing;
-repeated items are items each; an empty benchmark leaves documents as they are.
+``TOGETHER`` blocks at most are on the driver and broadcast at a time.  A benchmark
+of more is taken in several passes over the documents, each task loading a block
+once; the passes write what they find, which then meets the documents by key.
+
+Defined cases: a null or empty text has no words; an item without words matches
+nothing; repeated items are items each, repeated documents rows each; an empty
+benchmark leaves documents as they are, an empty table gives no rows; a null item
+id is the empty text; other columns are ignored or, by ``clean``, kept, whatever
+their names; very long texts are scanned a slice of texts at a time.
 """
 
 from __future__ import annotations
@@ -20,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.cluster import whole_texts
+from tessera.llm.cluster import table, whole_texts, with_found
 from tessera.llm.textkit import BY_ALNUM, Words, batches, slices, texts_of
 
 
@@ -150,19 +158,24 @@ class Automaton:
                 yield words, i, hits[i]
 
 
-def automata(benchmark: DataFrame, item_id: str, text: str, window: int, block_words: int) -> list[bytes]:
-    """One pickled automaton for each block of at most about ``block_words`` words of items."""
-    made, block, size = [], [], 0
-    for item, body in benchmark.select(F.col(item_id).cast("string"), F.col(text)).toLocalIterator():
-        if body:
-            block.append((item, body.encode()))
-            size += len(body) // 2 + 1
-        if size > block_words:
-            made.append(pickle.dumps(Automaton(block, window)))
-            block, size = [], 0
-    if block or not made:
-        made.append(pickle.dumps(Automaton(block, window)))
-    return made
+#: Blocks that are broadcast together.
+TOGETHER = 4
+
+Runs = list[tuple[int, int]]
+
+
+def automata(benchmark: DataFrame, item_id: str, text: str, window: int, block_words: int) -> tuple[DataFrame, int]:
+    """block and automaton, pickled (written), and the number of blocks; only a sum reaches the driver."""
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text")).where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // (6 * block_words)))
+
+    def build(group: pa.Table) -> pa.Table:
+        listed = list(zip(group.column("item").to_pylist(), texts_of(group.column("text"))))
+        return pa.table({"block": group.column("block")[:1], "automaton": pa.array([pickle.dumps(Automaton(listed, window))], pa.binary())})
+
+    dealt = items.select(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)).cast("int").alias("block"), "item", "text")
+    return table(dealt.groupBy("block").applyInArrow(build, "block int, automaton binary")), blocks
 
 
 def _covered(n: int, hits: list[tuple[int, int, object]]) -> np.ndarray:
@@ -173,90 +186,140 @@ def _covered(n: int, hits: list[tuple[int, int, object]]) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def scan(df: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = 2_000_000) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, items (sorted, distinct), spans (byte ranges of hit words).
+def _runs(flags: np.ndarray) -> Runs:
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+    return list(zip(edge[0::2].tolist(), edge[1::2].tolist()))
 
-    A block of the benchmark is of bounded size, and so is what a task holds:
-    the automata are broadcast one by one and a task applies one after another.
-    """
+
+class Scanner:
+    """Looks texts up in some blocks, each unpickled once a task."""
+
+    def __init__(self, sent) -> None:
+        self.sent, self.loaded = sent, None
+
+    def __call__(self, texts: list[bytes]) -> list[tuple[Runs, list]]:
+        """For each text the runs of words that are hit, and the items."""
+        if self.loaded is None:
+            self.loaded = [pickle.loads(b) for b in self.sent.value]
+        hit: list[np.ndarray | None] = [None] * len(texts)
+        items: list[set] = [set() for _ in texts]
+        for one in self.loaded:
+            for r, (words, i, hits) in enumerate(one.scan(texts)):
+                if hits:
+                    own = _covered(int(words.first[i + 1]) - int(words.first[i]), hits)
+                    hit[r] = own if hit[r] is None else hit[r] | own
+                    items[r] |= {item for _, _, item in hits}
+        return [(_runs(h) if h is not None else [], sorted(x)) for h, x in zip(hit, items)]
+
+
+FOUND = "struct<runs:array<struct<start:int,stop:int>>,items:array<string>>"
+
+
+def _looked_up(df: DataFrame, benchmark: DataFrame, window: int, block_words: int, doc_id: str, text: str, item_id: str, item_text: str) -> tuple[DataFrame, object]:
+    """``df`` and a scanner of all blocks; or, where there are several groups of them, ``df`` with __found, what all passes found, and None."""
     sc = df.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in automata(benchmark, item_id, item_text, window, block_words)]
-    schema = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,stop:bigint>>"
+    made, blocks = automata(benchmark, item_id, item_text, window, block_words)
+
+    def send(at: int):
+        return sc.broadcast([r.automaton for r in made.where(F.col("block").between(at, at + TOGETHER - 1)).toLocalIterator()])  # TOGETHER blocks of bounded size
+
+    if blocks <= TOGETHER:
+        return whole_texts(df), Scanner(send(0))
+    d, k = "__clean_d", "__clean_k"  # beside any columns of the documents
+    named = whole_texts(df).withColumns({d: F.coalesce(df[doc_id].cast("bigint"), F.lit(-(1 << 63))), k: F.xxhash64(df[doc_id].cast("bigint"), df[text])})
+    passes = []
+    for at in range(0, blocks, TOGETHER):
+        sent = send(at)
+        scanner = Scanner(sent)
+
+        def run(source: Iterator[pa.RecordBatch], scanner=scanner) -> Iterator[pa.RecordBatch]:
+            kind = pa.struct([("runs", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("items", pa.list_(pa.string()))])
+            for batch in batches(source):
+                found = scanner(texts_of(batch.column(2)))
+                some = pa.array([i for i, (runs, _) in enumerate(found) if runs], pa.int64())
+                rows = [{"runs": [{"start": a, "stop": b} for a, b in runs], "items": items} for runs, items in found if runs]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), pa.array(rows, kind)], names=["d", "k", "f"])
+
+        passes.append(table(named.select(d, k, F.col(text).alias("text")).mapInArrow(run, f"d bigint, k bigint, f {FOUND}")))
+        sent.destroy()
+    hits = passes[0]
+    for other in passes[1:]:
+        hits = hits.union(other)
+    every = lambda name: F.flatten(F.collect_list(F.col(f"f.{name}"))).alias(name)
+    joined = hits.groupBy(F.col("d").alias(d), F.col("k").alias(k)).agg(every("runs"), every("items")).select(d, k, F.struct("runs", "items").alias("__found"))
+    return with_found(named, table(joined), k, [d, k]).select(*(F.col(f"`{c}`") for c in df.columns), "__found"), None
+
+
+def _found_in(column: pa.Array) -> list[tuple[Runs, list]]:
+    """The runs and items of joined passes."""
+    out = []
+    for f in column.to_pylist():
+        runs: Runs = []
+        for a, b in sorted((r["start"], r["stop"]) for r in f["runs"]) if f else []:
+            if runs and a <= runs[-1][1]:
+                runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
+            else:
+                runs.append((a, b))
+        out.append((runs, sorted(set(f["items"])) if f else []))
+    return out
+
+
+def _placed(texts: list[bytes], found: list[tuple[Runs, list]]) -> Iterator[tuple[int, Runs]]:
+    """For each text its number of words, and its hit runs of words as ranges of bytes."""
+    for a, b in slices(texts):
+        words = Words(texts[a:b], BY_ALNUM)
+        for i in range(b - a):
+            first, origin = int(words.first[i]), int(words.begin[i])
+            yield int(words.counts[i]), [(int(words.starts[first + s]) - origin, int(words.ends[first + e - 1]) - origin) for s, e in found[a + i][0]]
+
+
+def scan(df: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = 200_000) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, items (sorted, distinct), spans (byte ranges of hit words)."""
+    own = df.select(df[doc_id].cast("bigint").alias("doc_id"), df[text].alias("text"))
+    rows, scanner = _looked_up(own, benchmark, window, block_words, "doc_id", "text", item_id, item_text)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = {}
         for batch in batches(source):
             texts = texts_of(batch.column(1))
-            found: list[list] = [[0, set(), np.zeros(0, bool), []] for _ in texts]
-            for k, block in enumerate(blocks):
-                if k not in loaded:
-                    if len(blocks) > 4:
-                        loaded.clear()
-                    loaded[k] = pickle.loads(block.value)
-                for row, (words, i, hits) in zip(found, loaded[k].scan(texts)):
-                    first, stop = int(words.first[i]), int(words.first[i + 1])
-                    row[0] = stop - first
-                    if not hits:
-                        continue
-                    hit = _covered(stop - first, hits)
-                    row[1] |= {item for _, _, item in hits}
-                    row[2] = hit | row[2] if len(row[2]) else hit
-                    edge = first + np.flatnonzero(np.diff(np.concatenate([[0], row[2].astype(np.int8), [0]])))
-                    origin = int(words.begin[i])
-                    row[3] = [{"start": int(words.starts[s]) - origin, "stop": int(words.ends[e - 1]) - origin} for s, e in zip(edge[0::2], edge[1::2])]
+            found = scanner(texts) if scanner else _found_in(batch.column(2))
+            placed = list(_placed(texts, found))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([n for n, *_ in found], pa.int64()),
-                    pa.array([int(hit.sum()) for _, _, hit, _ in found], pa.int64()),
-                    pa.array([sorted(items) for _, items, _, _ in found], pa.list_(pa.string())),
-                    pa.array([spans for *_, spans in found], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+                    pa.array([n for n, _ in placed], pa.int64()),
+                    pa.array([sum(b - a for a, b in runs) for runs, _ in found], pa.int64()),
+                    pa.array([items for _, items in found], pa.list_(pa.string())),
+                    pa.array([[{"start": a, "stop": b} for a, b in spans] for _, spans in placed], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
                 ],
                 names=["doc_id", "n_words", "n_hit", "items", "spans"],
             )
 
-    return whole_texts(df).select(df[doc_id].cast("bigint").alias("doc_id"), df[text].alias("text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,stop:bigint>>")
 
 
-def clean(df: DataFrame, benchmark: DataFrame, window: int = 10, coverage: float = 0.8, **names: str) -> DataFrame:
+def clean(df: DataFrame, benchmark: DataFrame, window: int = 10, coverage: float = 0.8, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = 200_000) -> DataFrame:
     """The documents with the hit spans cut out; those hit in ``coverage`` of their words or more go.
 
     Each document keeps all its columns; a document without a hit keeps its text as it is.
     """
-    text, doc_id = names.get("text", "text"), names.get("doc_id", "doc_id")
-    sc = df.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in automata(benchmark, names.get("item_id", "item_id"), names.get("item_text", "text"), window, 2_000_000)]
-    fields = df.schema
+    rows, scanner = _looked_up(df, benchmark, window, block_words, doc_id, text, item_id, item_text)
+    width = len(df.columns)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded: dict[int, Automaton] = {}
         for batch in batches(source):
             at = batch.schema.get_field_index(text)
             texts = texts_of(batch.column(at))
-            hit: list[np.ndarray] = [np.zeros(0, bool) for _ in texts]
-            out: list[bytes | None] = list(texts)
-            keep = np.ones(len(texts), bool)
-            for k, block in enumerate(blocks):
-                if k not in loaded:
-                    if len(blocks) > 4:
-                        loaded.clear()
-                    loaded[k] = pickle.loads(block.value)
-                for r, (words, i, hits) in enumerate(loaded[k].scan(texts)):
-                    if hits:
-                        first, stop = int(words.first[i]), int(words.first[i + 1])
-                        hit[r] = _covered(stop - first, hits) | (hit[r] if len(hit[r]) else False)
-                        edge = first + np.flatnonzero(np.diff(np.concatenate([[0], hit[r].astype(np.int8), [0]])))
-                        origin, parts, last = int(words.begin[i]), [], 0
-                        for s, e in zip(edge[0::2], edge[1::2]):
-                            parts.append(texts[r][last : int(words.starts[s]) - origin])
-                            last = int(words.ends[e - 1]) - origin
-                        out[r] = b"".join([*parts, texts[r][last:]])
-                        keep[r] = hit[r].sum() < coverage * len(hit[r]) and bool(out[r].strip())
-            changed = [t.decode() if h.any() else None for t, h in zip(out, hit)]
-            column = batch.column(at)
-            if any(c is not None for c in changed):
-                column = pa.array([old if new is None else new for old, new in zip(column.to_pylist(), changed)], column.type)
-            columns = [column if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
-
-    return whole_texts(df).mapInArrow(run, fields)
+            found = scanner(texts) if scanner else _found_in(batch.column(width))
+            column, keep = batch.column(at), np.ones(len(texts), bool)
+            if any(runs for runs, _ in found):
+                changed = column.to_pylist()
+                for r, (n, spans) in enumerate(_placed(texts, found)):
+                    if spans:
+                        edges = [0, *(x for s in spans for x in s), len(texts[r])]
+                        changed[r] = b"".join(texts[r][a:b] for a, b in zip(edges[0::2], edges[1::2])).decode()
+                        keep[r] = sum(b - a for a, b in found[r][0]) < coverage * n and bool(changed[r].strip())
+                column = pa.array(changed, column.type)
+            columns = [column if i == at else c for i, c in enumerate(batch.columns[:width])]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width]).filter(pa.array(keep))
+
+    return rows.mapInArrow(run, df.schema)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.cluster import Sieve, partitions, table, whole_texts
+from tessera.llm.cluster import Sieve, partitions, table, whole_texts, with_found
 from tessera.llm.textkit import HashTable, batches, mix, prefix_hash, slices, span_hash, texts_of
 
 LOWEST = -(1 << 63)
@@ -332,17 +332,6 @@ def _ranges(found: DataFrame) -> DataFrame:
     return table(found.groupBy("d", "k").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")))
 
 
-def _with_ranges(rows: DataFrame, ranges: DataFrame, k: str = "k", on: tuple[str, str] = ("d", "k")) -> DataFrame:
-    """``rows`` with their ranges, null for none; rows that have none are sieved out before texts are shuffled."""
-    sieve = Sieve(ranges, on[1])
-    met = sieve.passed(rows, F.col(k)).join(ranges, list(on), "left")
-    rest = sieve.left(rows, F.col(k))
-    if rest is None:
-        return met
-    name = ranges.columns[-1]
-    return met.unionByName(rest.withColumn(name, F.lit(None).cast(ranges.schema[name].dataType)))
-
-
 def _nested(rows: DataFrame, outer: DataFrame, length: int, **limits: int) -> DataFrame:
     """Spans of strings of ``length`` bytes, looked for only in what repeats at a lesser length.
 
@@ -393,7 +382,7 @@ def removed(df: DataFrame, length: int = 400, keep_first: bool = False, passage:
             struct = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([[{"start": a, "stop": b} for a, b in ss] for ss in all_spans], struct), pa.array(kept, pa.binary()), pa.array([sum(b - a for a, b in ss) for ss in wide], pa.int64())], names=["d", "n_bytes", "spans", "kept", "n_shared"])
 
-    out = _with_ranges(rows, both).select("d", "text", "r").mapInArrow(apply, "d bigint, n_bytes bigint, spans array<struct<start:int,stop:int>>, kept binary, n_shared bigint")
+    out = with_found(rows, both, "k", ["d", "k"]).select("d", "text", "r").mapInArrow(apply, "d bigint, n_bytes bigint, spans array<struct<start:int,stop:int>>, kept binary, n_shared bigint")
     return out.select(F.when(F.col("d") != LOWEST, F.col("d")).alias("doc_id"), "n_bytes", "spans", "kept", "n_shared")
 
 
@@ -406,7 +395,7 @@ def clean(df: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str =
     d, k, ranges = "__suffix_d", "__suffix_k", "__suffix_ranges"  # beside any columns of the documents
     found = _ranges(spans(keyed(df, doc_id, text), length, True, **limits)).toDF(d, k, ranges)
     named = df.withColumns({d: F.coalesce(df[doc_id].cast("bigint"), F.lit(LOWEST)), k: F.xxhash64(df[doc_id].cast("bigint"), df[text])})
-    joined = _with_ranges(whole_texts(named), found, k, (d, k)).select(*(F.col(f"`{c}`") for c in df.columns), ranges)
+    joined = with_found(whole_texts(named), found, k, [d, k]).select(*(F.col(f"`{c}`") for c in df.columns), ranges)
 
     def apply(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):

@@ -294,6 +294,33 @@ def test_decontamination(spark, docs, none):
     assert decontamination.scan(docs, bench.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_in_passes(spark):
+    """Many blocks, so several passes over the documents, against every window looked for."""
+    rng = np.random.default_rng(3)
+    some = lambda n: rng.choice([f"w{i}" for i in range(30)], n).tolist()
+    items = [(i, some(int(rng.integers(0, 25)))) for i in range(60)]
+    texts = [(i, sum((items[rng.integers(60)][1] if rng.random() < 0.3 else some(6) for _ in range(6)), [])) for i in range(80)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    df = spark.createDataFrame([(i, " ".join(w), i % 3) for i, w in texts], "doc_id bigint, text string, runs int").repartition(3)
+    assert decontamination.automata(bench, "item_id", "text", 10, 8)[1] > 50
+    one, many = (rows(decontamination.scan(df, bench, block_words=b)) for b in (1_000_000, 8))
+    windows = collections.defaultdict(set)
+    for i, w in items:
+        for at in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[at : at + 10])].add(str(i))
+    for i, w in texts:
+        hit, found = set(), set()
+        for k, who in windows.items():
+            for at in range(len(w) - len(k) + 1):
+                if tuple(w[at : at + len(k)]) == k:
+                    hit |= set(range(at, at + len(k)))
+                    found |= who
+        for got in (one, many):
+            assert (got[i][0].n_words, got[i][0].n_hit, got[i][0]["items"]) == (len(w), len(hit), sorted(found))
+    a, b = (sorted(decontamination.clean(df, bench, block_words=b).collect()) for b in (1_000_000, 8))
+    assert a == b
+
+
 def test_quality(spark, docs, none):
     rng = np.random.default_rng(1)
     good = [(i, " ".join(rng.choice(["the", "house", "river", "walks", "slowly,", "home."], 60)), 1) for i in range(120)]
