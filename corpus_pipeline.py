@@ -2,6 +2,14 @@
 
 Every stage is written as Parquet and read again as the next one's documents.
 All but the last return the columns of ``documents``.
+
+Defined cases, all stages: an empty table gives no rows; other columns stay as they
+are, whatever their names; very long texts are taken whole.  A null or empty text
+has a quality score like others, links with nothing, has nothing to cut and is one
+token.  Rows that share an id are one document to near_dedup and stay or go
+together; repeated rows (id and text) are one document to suffix_dedup as well, so
+neither loses its text to the other.  A null id is a document like others.  Of
+equal documents the one of the smallest id stays.
 """
 
 from __future__ import annotations
@@ -11,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, neardup, packing, quality, suffixdup
 from tessera.llm.cluster import table
-from tessera.llm.queries import quality_model, read
+from tessera.llm.queries import read, sampled_model
 
 
 def _counted(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -20,9 +28,8 @@ def _counted(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that are likelier of low quality than of high."""
-    _, model = quality_model(docs, read(spark, sf_dir, "labels"))
-    return quality.keep(docs, model, 0.5)
+    """Drops the documents that are likelier of low quality than of high; 20,000 labelled documents at most train."""
+    return quality.keep(docs, sampled_model(docs, read(spark, sf_dir, "labels")), 0.5)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,11 +89,11 @@ def top(df: DataFrame, keys: Sequence[tuple[str | Column, bool]], n: int) -> Dat
 
 def materialize(df: DataFrame) -> DataFrame:
     """A reliable copy in the checkpoint folder, which outlives executors; the lineage ends there."""
-    import tempfile
+    from tessera.sources.files import scratch
 
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(scratch(df.sparkSession))
     return df.checkpoint()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -13,9 +14,11 @@ from tessera.functions import vectors
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder all executors see: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """A folder all executors see: spark.checkpoint.dir, or, in one process only, a temporary one where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("a cluster needs a folder that all executors share in spark.checkpoint.dir")
         folder = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
