@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, decontamination, fingerprint, hmm, html, neardup, packing, quality, sharding, suffixdup
+from tessera.llm.cluster import table
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,8 +121,6 @@ def remainder(column: str, by: int) -> F.Column:
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, quality.Discriminant]:
     """The statistics of all documents, written, and the model learnt from the labels that may train."""
-    from tessera.llm.cluster import table
-
     stats = table(quality.features(docs))
     train = labels.where(remainder("doc_id", 4) != HELD_OUT).select("doc_id", F.col("quality").alias("label")).dropDuplicates(["doc_id", "label"])
     return stats, quality.fit(stats.join(train, "doc_id").select("x", "label"))
@@ -131,9 +130,9 @@ def sampled_model(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> q
     """The model learnt from about ``sample`` labelled documents at most, drawn by a hash of their ids; statistics are made of those only."""
     train = labels.where(remainder("doc_id", 4) != HELD_OUT).select("doc_id", F.col("quality").alias("label")).dropDuplicates(["doc_id", "label"])
     drawn = F.pmod(F.xxhash64(F.lit("labelled"), F.col("doc_id").cast("bigint")), F.lit(1 << 30)) <= min(1.0, sample / max(1, train.count())) * (1 << 30)
-    some = train.where(drawn)
-    few = docs.where(drawn).select("doc_id", "text").join(some, "doc_id", "left_semi")
-    return quality.fit(quality.features(few).join(some, "doc_id").select("x", "label"))
+    some = F.broadcast(train.where(drawn))  # about ``sample`` rows at most
+    few = docs.where(drawn).select("doc_id", "text").join(some.select("doc_id"), "doc_id", "left_semi")
+    return quality.fit(table(quality.features(few).join(some, "doc_id").select("x", "label")))
 
 
 def op10_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ from tessera.llm.cluster import Sieve, partitions, table, whole_texts, with_foun
 from tessera.llm.textkit import HashTable, batches, mix, prefix_hash, slices, span_hash, texts_of
 
 LOWEST = -(1 << 63)
-PIECE = 4 << 20
+PIECE = 1 << 18
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -71,7 +71,7 @@ def anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...
                 owner.append(i)
                 base.append(at)
     width, low = length - gram + 1, np.uint64((1 << 24) - 1)
-    for a, b in slices(pieces):
+    for a, b in slices(pieces, 1 << 18):  # some 100 bytes of arrays a byte
         data = np.frombuffer(b"".join(pieces[a:b]), np.uint8)
         sizes = np.fromiter((len(p) for p in pieces[a:b]), np.int64, b - a)
         begin = np.concatenate([[0], np.cumsum(sizes)])
@@ -228,7 +228,7 @@ def spans(rows: DataFrame, length: int = 400, keep_first: bool = False, gram: in
         last = None
         for batch in source:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != last and size > 1 << 20:
+                if row[0] != last and size > 1 << 19:
                     yield spans_of()
                     held, size = [], 0
                 if last is None or row[0] != last or not held or held[-1][2:5] != row[2:5]:
