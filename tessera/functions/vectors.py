@@ -6,12 +6,11 @@ taken in double precision.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DISTANCES = ("euclidean", "cosine", "cosine_similarity")
 
 
 def literal(values: Sequence[float]) -> Column:
@@ -53,9 +52,26 @@ def cosine(a: Column, b: Column) -> Column:
     return 1 - cosine_similarity(a, b)
 
 
+#: Distances by name, and their names between angle brackets in statements.
+DISTANCES: dict[str, Callable[[Column, Column], Column]] = {"euclidean": euclidean, "cosine": cosine, "cosine_similarity": cosine_similarity}
+SHORT = {"euc": "euclidean", "cos": "cosine"}
+
+
 def distance(name: str, a: Column, b: Column) -> Column:
     """By name; ``cosine_similarity`` ascending puts the least similar first."""
-    return {"euclidean": euclidean, "cosine": cosine, "cosine_similarity": cosine_similarity}[name](a, b)
+    return DISTANCES[name](a, b)
+
+
+def register_distance(name: str, short: str, make: Callable[[Column, Column], Column]) -> None:
+    """A new distance of two vectors; ``short`` is its name in statements.  Vectors of different dimensions raise."""
+    if name in DISTANCES or short in SHORT:
+        raise ValueError(f"{name} or {short} is there already")
+    DISTANCES[name] = lambda a, b: _checked(a, b, make(a, b))
+    SHORT[short] = name
+
+
+def manhattan(a: Column, b: Column) -> Column:
+    return _checked(a, b, _sum(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double")))))
 
 
 def add(a: Column, b: Column) -> Column:

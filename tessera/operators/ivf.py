@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.knn import knn, knn_batch, pair_distances, recall
+from tessera.operators.knn import knn, knn_batch, pair_distances, recall, smallest
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ class Ivf:
 
     def cells_near(self, queries: np.ndarray, probe: int) -> np.ndarray:
         """For each query its ``probe`` nearest cells."""
-        return np.argsort(pair_distances(self.centroids, queries, "euclidean"), axis=0, kind="stable")[:probe].T
+        return np.argsort(pair_distances(self.centroids, np.asarray(queries, float), "euclidean"), axis=0, kind="stable")[:probe].T
 
 
 def train(df: DataFrame, cells: int = 16, sample: int = 100_000, seed: int = 7, id_column: str = "vec_id", vector: str = "embedding") -> np.ndarray:
@@ -93,17 +93,21 @@ def search_batch(spark, index: Ivf, queries: DataFrame, k: int = 20, probe: int
             yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(near.ravel().astype(np.int32))], names=["query_id", "q", "cell"])
 
     asked = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(index.vector).cast("array<double>").alias("q")).mapInArrow(probes, "query_id bigint, q array<double>, cell int")
-    # a cell's queries in bounded lists, which meet the cell's rows
+    # a cell's queries in bounded lists meet pieces of the cell's rows: whole matrices, and no key has all of a large cell
     lists = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(64))).groupBy("cell", "part").agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    rows = index.rows(spark).select(F.col(index.id_column).cast("bigint").alias("id"), F.col(index.vector).cast("array<double>").alias("v"), "cell")
+    rows = index.rows(spark).select(F.col(index.id_column).cast("bigint").alias("id"), F.col(index.vector).cast("array<double>").alias("v"), "cell", F.pmod(F.xxhash64(index.id_column), F.lit(max(1, index.rows(spark).count() // len(centroids) // 1024))).alias("piece"))  # some 1,000 rows a piece
+    pieces = rows.groupBy("cell", "piece").agg(F.collect_list(F.struct("id", "v")).alias("vs"))
 
     def meet(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            for i, v, qs in zip(*(c.to_pylist() for c in batch.columns)):
-                d = pair_distances(np.array([q["q"] for q in qs]), np.array([v]), "euclidean")[:, 0]
-                yield pa.RecordBatch.from_arrays([pa.array([q["query_id"] for q in qs], pa.int64()), pa.array([i] * len(qs), pa.int64()), pa.array(d)], names=["query_id", "id", "distance"])
-
-    met = rows.join(lists, "cell").select("id", "v", "qs").mapInArrow(meet, "query_id bigint, id bigint, distance double")
+            for vs, qs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids, wanted = np.array([v["id"] for v in vs]), np.array([q["query_id"] for q in qs])
+                d = pair_distances(np.array([v["v"] for v in vs]), np.array([q["q"] for q in qs]), "euclidean")
+                keep = [smallest(d[:, j], ids, k) for j in range(len(qs))]
+                n = [len(x) for x in keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(wanted, n)), pa.array(np.concatenate([ids[x] for x in keep])), pa.array(np.concatenate([d[x, j] for j, x in enumerate(keep)]))], names=["query_id", "id", "distance"])
+
+    met = pieces.join(lists, "cell").select("vs", "qs").mapInArrow(meet, "query_id bigint, id bigint, distance double")
     w = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "id")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -1,13 +1,24 @@
-"""What an index is here: a way rows lie in files, which Spark's scans then prune."""
+"""What an index is here: a copy of rows that lies in files so that Spark's scans read few of them.
+
+An index is built by ``build``, grows by ``append`` and is read by ``lookup`` (or
+``near`` for distances); ``expected`` says how many rows a lookup reads.  Kinds are
+in ``KINDS``, to which others can be added.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera.operators import ivf
 from tessera.operators.predicates import Predicate
 
+BUCKETS = 100
+
 
 def sorted_files(df: DataFrame, keys: Sequence[str], path: str, files: int | None = None) -> None:
     """Ranges of the keys, sorted within each file: row groups' bounds then skip what a range predicate excludes."""
@@ -36,3 +47,133 @@ def best(indexes: dict[str, tuple[str, tuple[str, ...]]], predicate: Predicate)
             if lead:
                 scored.append((lead, name))
     return max(scored, key=lambda s: s[0])[1] if scored else None
+
+
+@dataclass
+class Layout:
+    """An index of a table's rows; ``version`` is the table's that it shows."""
+
+    spark: SparkSession
+    columns: tuple[str, ...]
+    path: str
+    schema: T.StructType
+    version: int = 0
+    rows: int = 0
+
+    def build(self, df: DataFrame) -> None:
+        self.append(df)
+
+    def append(self, df: DataFrame) -> None:
+        raise NotImplementedError
+
+    def lookup(self, predicate: Predicate) -> DataFrame:
+        """Rows that include all that meet the predicate."""
+        raise NotImplementedError
+
+    def expected(self, predicate: Predicate) -> float:
+        """The share of rows that a lookup reads, by rule: statistics may say more."""
+        raise NotImplementedError
+
+    def _read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+
+class Sorted(Layout):
+    """btree: ranges of the keys; bounds of row groups skip what a comparison of leading keys excludes."""
+
+    def append(self, df: DataFrame) -> None:
+        df.repartitionByRange(*self.columns).sortWithinPartitions(*self.columns).write.mode("append").parquet(self.path)
+
+    def lookup(self, predicate: Predicate) -> DataFrame:
+        return self._read().where(predicate.on(self.columns).column()).select(*self.schema.names)
+
+    def expected(self, predicate: Predicate) -> float:
+        out = 1.0
+        for c in self.columns:
+            ops = {b[0] for t in predicate.terms if (b := t.bound(c))}
+            if not ops:
+                break
+            out *= 0.01 if "=" in ops else 0.1
+        return out
+
+
+class Hashed(Layout):
+    """hash: a folder for each of BUCKETS hashes of all keys; equality reads one."""
+
+    def _bucket(self, values: list) -> object:
+        return F.pmod(F.xxhash64(*values), F.lit(BUCKETS)).cast("int")
+
+    def append(self, df: DataFrame) -> None:
+        df.withColumn("_bucket", self._bucket([F.col(c) for c in self.columns])).repartition("_bucket").write.mode("append").partitionBy("_bucket").parquet(self.path)
+
+    def lookup(self, predicate: Predicate) -> DataFrame:
+        wanted = [F.lit(next(b[1] for t in predicate.terms if (b := t.bound(c)) and b[0] == "=")).cast(self.schema[c].dataType) for c in self.columns]
+        return self._read().where(F.col("_bucket") == self._bucket(wanted)).select(*self.schema.names)
+
+    def expected(self, predicate: Predicate) -> float:
+        return 1 / BUCKETS
+
+
+@dataclass
+class Cells(Layout):
+    """ivf: cells of nearest centroids, four times the root of the rows in number; the nearest are probed.
+
+    How many is measured when the index is built: the fewest that reach a recall
+    of ``least`` against brute force over at most ``asked`` of the rows, as queries.
+    """
+
+    least: float = 0.9
+    asked: int = 50
+    index: ivf.Ivf | None = None
+    probe: int = 1
+    recall: float = 0.0
+    sizes: dict[int, int] = field(default_factory=dict)
+
+    def _id(self) -> str:
+        return next(f.name for f in self.schema if f.name not in self.columns)
+
+    def build(self, df: DataFrame) -> None:
+        n = df.count()
+        if not n:
+            return
+        cells = max(1, min(n, 4096, round(4 * n**0.5)))
+        self.index = ivf.build(df, self.path, cells, self._id(), self.columns[0])
+        drawn = F.pmod(F.xxhash64(self._id()), F.lit(1 << 20))
+        queries = df.where(drawn <= min(1.0, 2 * self.asked / n) * (1 << 20)).orderBy(drawn).limit(self.asked)
+        self.probe, self.recall = ivf.probe_for(self.spark, self.index, df, queries, 20, self.least, self._id())
+        self._count()
+
+    def append(self, df: DataFrame) -> None:
+        if self.index is None:
+            return self.build(df)
+        ivf.append(df, self.index)
+        self._count()
+
+    def _count(self) -> None:
+        self.sizes = {r.cell: r.n for r in self.index.rows(self.spark).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a cell
+
+    def near(self, query: Sequence[float], k: int) -> DataFrame:
+        """The rows of the nearest ``probe`` cells, or of as many as have k rows."""
+        order = self.index.cells_near([list(query)], len(self.index.centroids))[0]
+        taken, held = [], 0
+        for cell in order:
+            if len(taken) >= self.probe and held >= k:
+                break
+            taken.append(int(cell))
+            held += self.sizes.get(int(cell), 0)
+        return self.index.rows(self.spark).where(F.col("cell").isin(taken)).select(*self.schema.names)
+
+    def lookup(self, predicate: Predicate) -> DataFrame:
+        return self.index.rows(self.spark).select(*self.schema.names)
+
+    def expected(self, predicate: Predicate) -> float:
+        return 1.0
+
+
+KINDS: dict[str, type[Layout]] = {"btree": Sorted, "hash": Hashed, "ivf": Cells}
+
+
+def index_join(spark: SparkSession, left: str, right: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Joins tables made by ``hashed_table`` on their bucket keys: neither side is shuffled."""
+    a, b = spark.table(left), spark.table(right).hint("merge")
+    return a.join(b, [a[x] == b[y] for x, y in pairs])

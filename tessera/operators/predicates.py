@@ -161,3 +161,12 @@ class Predicate:
             new = {x for t in self.terms if t.op == "=" and len(t.names()) == 2 and t.names() & new for x in t.names()} - out
             out |= new
         return out - {name}
+
+    def closed(self) -> Predicate:
+        """With every comparison of a column with a constant also said of the columns equal to it."""
+        extra = []
+        for t in self.terms:
+            names = t.names()
+            if len(names) == 1 and (found := t.bound(name := next(iter(names)))):
+                extra += [Term(Name(other), found[0], Constant(found[1])) for other in sorted(self.equated(name))]
+        return Predicate(tuple(dict.fromkeys([*self.terms, *extra])))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,19 @@ AGGREGATES = {
     "sum": ("sumof", lambda c: F.sum(c.cast("double"))),
 }
 
+#: Aggregates of numbers only.
+NUMERIC = {"avg", "sum"}
+
+
+def register_aggregate(name: str, prefix: str, make: Callable[[Column], Column], numeric: bool = False) -> None:
+    """A new aggregate function: its name in statements, its output's prefix, and what it makes of a column."""
+    if name in AGGREGATES:
+        raise BadSemantics(f"{name} is there already")
+    AGGREGATES[name] = (prefix, make)
+    if numeric:
+        NUMERIC.add(name)
+
+
 HINTS = {"merge": "merge", "hash": "shuffle_hash", "broadcast": "broadcast", "nested_loop": "shuffle_replicate_nl"}
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,3 +119,34 @@ def group_rows(distinct: Sequence[float], rows: float) -> float:
     for d in distinct:
         space *= max(d, 1.0)
     return space * (1 - (1 - 1 / space) ** rows) if space < 1e15 else rows
+
+
+class Manager:
+    """Statistics of tables by name, made when first asked for and again after over ``changes`` changed rows."""
+
+    def __init__(self, table: Callable[[str], DataFrame], changes: int = 100) -> None:
+        self.table, self.most = table, changes
+        self.held: dict[str, list] = {}
+        self.counts: dict[str, int] = {}
+
+    def changed(self, name: str, rows: int) -> None:
+        self.counts[name] = self.counts.get(name, 0) + rows
+
+    def stats(self, name: str) -> list:
+        """A row a column, as ``table_stats``; as old as the changes since allow."""
+        if name not in self.held or self.counts.get(name, 0) > self.most:
+            self.refresh(name)
+        return self.held[name]
+
+    def refresh(self, name: str) -> None:
+        df = self.table(name)
+        plain = [f.name for f in df.schema if f.dataType.typeName() not in ("array", "map", "struct")]
+        self.held[name], self.counts[name] = table_stats(df, plain).collect(), 0  # a row a column
+
+
+def synced(histograms: dict[str, Sequence[Bucket]]) -> dict[str, list[Bucket]]:
+    """Histograms of one table's columns with as many rows each: those of the column with the fewest."""
+    totals = {c: sum(b.frequency for b in h) for c, h in histograms.items()}
+    least = min(totals.values(), default=0.0)
+    scaled = lambda b, t: replace(b, frequency=b.frequency * least / t, distinct=min(b.distinct, b.frequency * least / t))
+    return {c: [scaled(b, totals[c]) for b in h] if totals[c] > least else list(h) for c, h in histograms.items()}

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.errors import BadSemantics
 from tessera.operators.knn import knn
 from tessera.plans.engine import Engine
+from tessera.sources.generators import plain_decimal
 
 Procedure = Callable[..., DataFrame]
 REGISTRY: dict[str, Procedure] = {}
@@ -26,10 +27,18 @@ def procedure(f: Procedure) -> Procedure:
 
 
 def call(engine: Engine, name: str, **parameters: object) -> DataFrame:
-    """Runs a procedure; what it committed stays if a later statement of it fails, as versions are whole."""
+    """Runs a procedure as one transaction: if it fails, none of its changes stay.  Within one, it is part of that."""
     if name not in REGISTRY:
         raise BadSemantics(f"no procedure {name}")
-    return REGISTRY[name](engine, **parameters)
+    if engine.catalog.txn:
+        return REGISTRY[name](engine, **parameters)
+    with engine.transaction():
+        return REGISTRY[name](engine, **parameters)
+
+
+def quoted(value: int | float | str) -> str:
+    """A parameter as a constant of the dialect: a text can't end its quotes."""
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else plain_decimal(value)
 
 
 def keys(engine: Engine, values: Sequence[object], name: str) -> DataFrame:
@@ -87,21 +96,23 @@ def new_order(engine: Engine, w_id: int, d_id: int, c_id: int, lines: Sequence[t
     who = e.sql(f"select c_discount, c_last, c_credit from customer where c_w_id = {w_id} and c_d_id = {d_id} and c_id = {c_id}").first()
     if tax is None or who is None:
         raise BadSemantics("no such district or customer")
+    asked = e.spark.createDataFrame([(i + 1, *x) for i, x in enumerate(lines)], "ol_number int, ol_i_id int, ol_supply_w_id int, ol_quantity int")
+    made = order_lines(e, asked, item("item"), item("stock")).cache()
+    if made.count() != len(lines):
+        made.unpersist()
+        raise BadSemantics("an item is unknown")
     o_id = tax.d_next_o_id
     e.execute(f"update district set d_next_o_id = add(d_next_o_id, 1) where d_w_id = {w_id} and d_id = {d_id}")
     local = int(all(supply == w_id for _, supply, _ in lines))
     e.execute(f"insert into orders (o_id, o_c_id, o_d_id, o_w_id, o_entry_d, o_carrier_id, o_ol_cnt, o_all_local) values ({o_id}, {c_id}, {d_id}, {w_id}, {now}, 0, {len(lines)}, {local})")
     e.execute(f"insert into new_order (no_o_id, no_d_id, no_w_id) values ({o_id}, {d_id}, {w_id})")
-    asked = e.spark.createDataFrame([(i + 1, *x) for i, x in enumerate(lines)], "ol_number int, ol_i_id int, ol_supply_w_id int, ol_quantity int")
-    made = order_lines(e, asked, item("item"), item("stock")).cache()
-    if made.count() != len(lines):
-        raise BadSemantics("an item is unknown")
     rows = made.select(F.lit(o_id).alias("ol_o_id"), F.lit(d_id).alias("ol_d_id"), F.lit(w_id).alias("ol_w_id"), "ol_number", "ol_i_id", "ol_supply_w_id", F.lit(-1).cast("bigint").alias("ol_delivery_d"), "ol_quantity", "ol_amount", F.lit("").alias("ol_dist_info"))
     e.insert("order_line", rows)
-    for i, supply, n in lines:
-        left = item("stock").where((F.col("s_i_id") == i) & (F.col("s_w_id") == supply)).first().s_quantity
-        after = left - n + (91 if left - n < 10 else 0)
-        e.execute(f"update stock set s_quantity = {after}, s_ytd = add(s_ytd, {n}), s_order_cnt = add(s_order_cnt, 1) where s_i_id = {i} and s_w_id = {supply}")
+    # lines of one item follow each other; all stocks change at once
+    after = made.groupBy("ol_i_id", "ol_supply_w_id").agg(F.sort_array(F.collect_list(F.struct("ol_number", "ol_quantity"))).alias("ls")).join(item("stock"), (F.col("s_i_id") == F.col("ol_i_id")) & (F.col("s_w_id") == F.col("ol_supply_w_id")))
+    left = F.aggregate("ls", F.col("s_quantity"), lambda q, x: restocked(q, x["ol_quantity"]).cast("int"))
+    ordered = F.aggregate("ls", F.lit(0), lambda n, x: n + x["ol_quantity"])
+    upsert(e, "stock", ["s_i_id", "s_w_id"], after.select("s_i_id", "s_w_id", left.alias("s_quantity"), (F.col("s_ytd") + ordered).alias("s_ytd"), (F.col("s_order_cnt") + F.size("ls")).alias("s_order_cnt")))
     return order_total(e, made, who.c_discount, tax.w_tax, tax.d_tax)
 
 
@@ -112,13 +123,13 @@ def payment(engine: Engine, w_id: int, d_id: int, c_id: int, amount: float, now:
     who = e.sql(f"select c_credit, c_data, c_balance from customer where {here}").first()
     if who is None:
         raise BadSemantics("no such customer")
-    e.execute(f"update warehouse set w_ytd = add(w_ytd, {amount!r}) where w_id = {w_id}")
-    e.execute(f"update district set d_ytd = add(d_ytd, {amount!r}) where d_w_id = {w_id} and d_id = {d_id}")
-    e.execute(f"update customer set c_balance = add(c_balance, {amount!r}) where {here}")
+    e.execute(f"update warehouse set w_ytd = add(w_ytd, {quoted(amount)}) where w_id = {w_id}")
+    e.execute(f"update district set d_ytd = add(d_ytd, {quoted(amount)}) where d_w_id = {w_id} and d_id = {d_id}")
+    e.execute(f"update customer set c_balance = add(c_balance, {quoted(amount)}) where {here}")
     if who.c_credit == "BC":
-        note = f"{c_id} {d_id} {w_id} {amount} {who.c_data}"[:499].replace("'", "''")
-        e.execute(f"update customer set c_data = '{note}' where {here}")
-    e.execute(f"insert into history (h_c_id, h_c_d_id, h_c_w_id, h_d_id, h_w_id, h_date, h_amount, h_data) values ({c_id}, {d_id}, {w_id}, {d_id}, {w_id}, {now}, {amount!r}, '')")
+        note = f"{c_id} {d_id} {w_id} {quoted(amount)} {who.c_data}"[:499]
+        e.execute(f"update customer set c_data = {quoted(note)} where {here}")
+    e.execute(f"insert into history (h_c_id, h_c_d_id, h_c_w_id, h_d_id, h_w_id, h_date, h_amount, h_data) values ({c_id}, {d_id}, {w_id}, {d_id}, {w_id}, {now}, {quoted(amount)}, '')")
     return e.sql(f"select c_id, c_balance from customer where {here}")
 
 
@@ -131,15 +142,15 @@ def trade_order(engine: Engine, ca_id: int, t_id: int, symbol: str, quantity: in
     e = engine
     chain = e.sql(
         "select ca_id, ca_name, c_f_name, c_l_name, c_tier, b_name, s_name, lt_price, tt_name from customer_account, customer, broker, security, last_trade, trade_type "
-        f"where ca_c_id = c_id and ca_b_id = b_id and ca_id = {ca_id} and s_symb = lt_s_symb and s_symb = '{symbol}' and tt_id = '{kind}'"
+        f"where ca_c_id = c_id and ca_b_id = b_id and ca_id = {ca_id} and s_symb = lt_s_symb and s_symb = {quoted(symbol)} and tt_id = {quoted(kind)}"
     )
     found = chain.first()
     if found is None:
         raise BadSemantics("no such account, security or type")
-    who = f"{found.c_f_name} {found.c_l_name}".replace("'", "''")
+    who = f"{found.c_f_name} {found.c_l_name}"
     e.execute(
         "insert into trade (t_id, t_dts, t_st_id, t_tt_id, t_is_cash, t_s_symb, t_qty, t_bid_price, t_ca_id, t_exec_name, t_trade_price, t_chrg, t_comm, t_tax, t_lifo) "
-        f"values ({t_id}, {now}, 'PNDG', '{kind}', 1, '{symbol}', {quantity}, {found.lt_price!r}, {ca_id}, '{who}', {found.lt_price!r}, 0.0, 0.0, 0.0, 1)"
+        f"values ({t_id}, {now}, 'PNDG', {quoted(kind)}, 1, {quoted(symbol)}, {quantity}, {quoted(found.lt_price)}, {ca_id}, {quoted(who)}, {quoted(found.lt_price)}, 0.0, 0.0, 0.0, 1)"
     )
     e.execute(f"insert into trade_history (th_t_id, th_dts, th_st_id) values ({t_id}, {now}, 'PNDG')")
     return chain
@@ -153,7 +164,7 @@ def trade_result(engine: Engine, t_id: int, now: int) -> DataFrame:
     if trade is None:
         raise BadSemantics("no such trade")
     e.execute(f"insert into trade_history (th_t_id, th_dts, th_st_id) values ({t_id}, {now}, 'CMPT')")
-    e.execute(f"update customer_account set ca_bal = add(ca_bal, {float(trade.t_trade_price)!r}) where ca_id = {trade.t_ca_id}")
+    e.execute(f"update customer_account set ca_bal = add(ca_bal, {quoted(float(trade.t_trade_price))}) where ca_id = {trade.t_ca_id}")
     return e.sql(f"select ca_id, ca_bal from customer_account where ca_id = {trade.t_ca_id}")
 
 
@@ -181,21 +192,23 @@ def ycsb(engine: Engine, reads: Sequence[str], writes: dict[str, str] | None = N
     return found
 
 
-def upsert(engine: Engine, table: str, key: str, changes: DataFrame) -> int:
+def upsert(engine: Engine, table: str, key: str | Sequence[str], changes: DataFrame) -> int:
     """Sets the columns of ``changes`` in the rows that have its keys: one new version."""
+    keys_ = [key] if isinstance(key, str) else list(key)
     m = engine.catalog.manifest(table)
     old = engine.catalog.read(table)
-    columns = [c for c in changes.columns if c != key]
-    new = changes.select(key, *(F.col(c).alias(f"_new_{c}") for c in columns)).withColumn("_hit", F.lit(1))
-    met = old.withColumn("_file", F.input_file_name()).join(new, key, "left_semi").groupBy("_file").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a file
+    columns = [c for c in changes.columns if c not in keys_]
+    new = changes.select(*keys_, *(F.col(c).alias(f"_new_{c}") for c in columns)).withColumn("_hit", F.lit(1))
+    met = old.withColumn("_file", F.input_file_name()).join(new, keys_, "left_semi").groupBy("_file").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a file
     names = {r._file.rsplit("/", 1)[1] for r in met}
     files = [f for f in m["files"] if f.rsplit("/", 1)[1] in names]
     if not files:
         return 0
-    joined = engine.spark.read.schema(old.schema).parquet(*files).join(new, key, "left")
+    joined = engine.spark.read.schema(old.schema).parquet(*files).join(new, keys_, "left")
     rows = joined.select(*(F.when(F.col("_hit") == 1, F.col(f"_new_{f.name}")).otherwise(F.col(f.name)).cast(f.dataType).alias(f.name) if f.name in columns else F.col(f.name) for f in old.schema))
     written = engine.catalog.write(table, rows)
     engine.catalog.commit(table, old.schema, [f for f in m["files"] if f not in set(files)] + written, m["version"])
+    engine.statistics.changed(table, sum(r.n for r in met))
     return sum(r.n for r in met)
 
 

@@ -102,3 +102,16 @@ def permutation(spark: SparkSession, items: int, seed: int) -> DataFrame:
 def hot_or_cold(items: int, hot: int, share: float, seed: int) -> Column:
     """A key among the first ``hot`` with probability ``share``, else among the others."""
     return F.when(F.rand(seed) < share, whole(1, hot, seed + 1)).otherwise(whole(hot + 1, items, seed + 2))
+
+
+def plain_decimal(value: float) -> str:
+    """A number without an exponent, which the dialect can't read: the shortest text that gives it back."""
+    from decimal import Decimal
+
+    return format(Decimal(repr(value)), "f")
+
+
+def plain(column: Column) -> Column:
+    """As plain_decimal, for numbers of up to 28 digits before the point and 10 after."""
+    text = column.cast("decimal(38,10)").cast("string")
+    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", ".0")
