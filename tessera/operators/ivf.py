@@ -30,8 +30,16 @@ class Ivf:
     id_column: str
     vector: str
 
+    @property
+    def batches(self) -> str:
+        """Where numbered batches of a stream are."""
+        return f"{self.path.rstrip('/')}-batches"
+
     def rows(self, spark) -> DataFrame:
-        return spark.read.parquet(self.path)
+        base, path = spark.read.parquet(self.path), spark._jvm.org.apache.hadoop.fs.Path(self.batches)
+        if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+            return base
+        return base.unionByName(spark.read.parquet(self.batches).drop("batch"))
 
     def cells_near(self, queries: np.ndarray, probe: int) -> np.ndarray:
         """For each query its ``probe`` nearest cells."""
@@ -74,6 +82,12 @@ def append(df: DataFrame, index: Ivf) -> None:
     assigned(df, index.centroids, index.vector).repartition("cell", F.pmod(F.xxhash64(index.id_column), F.lit(4))).write.mode("append").partitionBy("cell").parquet(index.path)
 
 
+def append_batch(df: DataFrame, index: Ivf, number: int) -> None:
+    """As append, of a numbered batch: done again it replaces what it wrote before."""
+    path = f"{index.batches}/batch={number}"
+    assigned(df, index.centroids, index.vector).repartition("cell", F.pmod(F.xxhash64(index.id_column), F.lit(4))).write.mode("overwrite").partitionBy("cell").parquet(path)
+
+
 def search(spark, index: Ivf, query: Sequence[float], k: int = 20, probe: int = 8, distance: str = "euclidean") -> DataFrame:
     cells = index.cells_near(np.array([query], float), probe)[0]
     return knn(index.rows(spark).where(F.col("cell").isin([int(c) for c in cells])), query, k, distance, index.id_column, index.vector)

@@ -26,9 +26,10 @@ def sorted_files(df: DataFrame, keys: Sequence[str], path: str, files: int | Non
     ranged.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
-def hashed_table(df: DataFrame, keys: Sequence[str], table: str, buckets: int = 100) -> None:
+def hashed_table(df: DataFrame, keys: Sequence[str], table: str, buckets: int = BUCKETS, path: str | None = None) -> None:
     """Buckets by all keys: equality lookups read one bucket, joins of equally bucketed tables don't shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
+    writer = df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def best(indexes: dict[str, tuple[str, tuple[str, ...]]], predicate: Predicate) -> str | None:

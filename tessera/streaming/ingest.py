@@ -17,13 +17,13 @@ def append(stream: DataFrame, engine: Engine, table: str, checkpoint: str, index
     """
 
     def take(batch: DataFrame, number: int) -> None:
-        done = engine.catalog.read(table).where(F.col("batch") == number).limit(1).count()
-        if done:
-            return
-        rows = batch.withColumn("batch", F.lit(number).cast("bigint"))
-        engine.insert(table, rows)
+        # first the index, whose files have the batch's number in their name and are written over, then the table:
+        # a batch that fails between the two comes again, and neither has it twice or not at all
         if index is not None:
-            ivf.append(batch, index)
+            ivf.append_batch(batch, index, number)
+        done = engine.catalog.read(table).where(F.col("batch") == number).limit(1).count()
+        if not done:
+            engine.insert(table, batch.withColumn("batch", F.lit(number).cast("bigint")))
 
     writer = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
