@@ -16,13 +16,13 @@ MOST = 1000
 
 
 def statements(lines: Iterable[str]) -> Iterator[str]:
-    """Texts up to a semicolon that ends a line, or up to an empty line."""
+    """Texts up to a semicolon that ends a line, or up to an empty line; ``exit`` stands alone."""
     held: list[str] = []
     for line in lines:
         text = line.strip()
         if text:
             held.append(text.removesuffix(";"))
-        if held and (not text or text.endswith(";")):
+        if held and (not text or text.endswith(";") or held == [text] and text.lower() in ("exit", "quit")):
             yield " ".join(held)
             held = []
     if held:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.knn import knn, knn_batch, pair_distances, recall, smallest
+from tessera.operators.knn import knn, knn_batch, pair_distances, smallest
 
 
 @dataclass(frozen=True)
@@ -127,13 +127,27 @@ def search_batch(spark, index: Ivf, queries: DataFrame, k: int = 20, probe: int
 
 
 def probe_for(spark, index: Ivf, df: DataFrame, queries: DataFrame, k: int = 20, least: float = 0.9, query_id: str = "vec_id") -> tuple[int, float]:
-    """The fewest cells to probe for a recall of ``least`` against brute force, and that recall."""
-    exact = knn_batch(df, queries, k, "euclidean", index.id_column, index.vector, query_id).cache()
-    probe, found = 1, 0.0
-    while True:
-        probe = min(probe, len(index.centroids))
-        found = recall(search_batch(spark, index, queries, k, probe, query_id), exact).first()[0] or 0.0
-        if found >= least or probe == len(index.centroids):
-            exact.unpersist()
-            return probe, found
-        probe = probe + max(1, probe // 3)
+    """The fewest cells to probe for a recall of ``least`` against brute force, and that recall.
+
+    A true neighbour is found with as many cells as are nearer to the query than
+    its own, and that: one pass says the recall of every number of cells.
+    """
+    exact = knn_batch(df, queries, k, "euclidean", index.id_column, index.vector, query_id).select("query_id", "id")
+    where = exact.join(index.rows(spark).select(F.col(index.id_column).cast("bigint").alias("id"), "cell"), "id")
+    asked = where.join(queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(index.vector).cast("array<double>").alias("q")), "query_id").select("query_id", "cell", "q")
+    centroids = index.centroids
+
+    def needed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            if batch.num_rows:
+                d = pair_distances(centroids, batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1), "euclidean")
+                rank = d.argsort(0, kind="stable").argsort(0, kind="stable")
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((rank[batch.column(1).to_numpy(), np.arange(batch.num_rows)] + 1).astype(np.int32))], names=["query_id", "probes"])
+
+    counts = {r.probes: r.n for r in asked.mapInArrow(needed, "query_id bigint, probes int").groupBy("probes").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a cell at most
+    total, held = sum(counts.values()), 0
+    for probe in range(1, len(centroids) + 1):
+        held += counts.get(probe, 0)
+        if total and held >= least * total:
+            return probe, held / total
+    return len(centroids), 1.0 if total else 0.0

@@ -290,7 +290,7 @@ def query_perturbation(spark: SparkSession, folder: str) -> DataFrame:
 
 def _index(spark: SparkSession, folder: str) -> tuple[DataFrame, ivf.Ivf]:
     df = files.table(spark, folder, "embeddings").select("vec_id", "embedding")
-    return df, ivf.build(df, cells=16)
+    return df, ivf.build(df, cells=max(1, min(4096, round(4 * df.count() ** 0.5))))
 
 
 @query(_ranked(_L2))

@@ -42,8 +42,9 @@ def weighted(values: Sequence[str], weights: Sequence[float], seed: int) -> Colu
 
 
 def text(low: int, high: int, seed: int, alphabet: str = ALPHABET) -> Column:
-    letters = [F.substring(F.lit(alphabet), (F.floor(F.rand(seed + 1 + i) * len(alphabet)) + 1).cast("int"), F.lit(1)) for i in range(high)]
-    return F.left(F.concat(*letters), whole(low, high, seed).cast("int"))
+    # one random number a row, hashed with each letter's place: as long an expression for any length
+    letters = F.transform(F.array_repeat(F.rand(seed + 1), high), lambda u, i: F.substring(F.lit(alphabet), (F.pmod(F.xxhash64(u, i), F.lit(len(alphabet))) + 1).cast("int"), F.lit(1)))
+    return F.left(F.array_join(letters, ""), whole(low, high, seed).cast("int"))
 
 
 def digits(n: int, seed: int) -> Column:
