@@ -13,6 +13,9 @@ histogram (bounded bins), since Gaussian posteriors are far too sure.
 Defined cases: a null text counts as empty; an empty text has a score; repeated
 rows are scored each; documents without a label do not train; with one class
 missing every score is that class's rate; labels that are null do not count.
+An empty table gives no rows, very long texts are taken a slice of texts at a time,
+other columns are ignored or, by ``keep``, kept, whatever their names; a text whose
+label is given as 0 and as 1 counts as both.
 """
 
 from __future__ import annotations
@@ -123,10 +126,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
 class Gaussian:
     mean: np.ndarray
     factor: np.ndarray  # lower Cholesky factor of the shrunk covariance
+    whiten: np.ndarray  # its inverse, made once
+    half_log_det: float
+
+    @classmethod
+    def of(cls, mean: np.ndarray, covariance: np.ndarray) -> Gaussian:
+        factor = np.linalg.cholesky(covariance)
+        return cls(mean, factor, np.linalg.inv(factor), float(np.log(np.diag(factor)).sum()))
 
     def log_density(self, x: np.ndarray) -> np.ndarray:
-        z = np.linalg.solve(self.factor, (x - self.mean).T)
-        return -0.5 * (z * z).sum(0) - np.log(np.diag(self.factor)).sum()
+        z = self.whiten @ (x - self.mean).T
+        return -0.5 * (z * z).sum(0) - self.half_log_det
 
 
 @dataclass(frozen=True)
@@ -154,7 +164,7 @@ def _fit(moments: list[tuple[float, np.ndarray, np.ndarray]], shrink: float, dia
     for (n, _, _), mean, own in zip(moments, means, spread):
         c = (1 - shrink) * own + shrink * pooled
         c = (1 - diagonal) * c + diagonal * np.diag(np.diag(pooled))
-        out.append(Gaussian(mean, np.linalg.cholesky(c + 1e-6 * np.eye(len(mean)))))
+        out.append(Gaussian.of(mean, c + 1e-6 * np.eye(len(mean))))
     return out[0], out[1]
 
 
