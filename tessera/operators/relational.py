@@ -50,8 +50,19 @@ def product(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.crossJoin(right)
 
 
+#: The largest side that is broadcast, however it was asked for.
+BROADCAST_BYTES = 256 << 20
+
+
+def known_bytes(df: DataFrame) -> int:
+    """What Spark's statistics say of the rows' size, files' sizes at the least; joins and unknowns count as their products."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 def theta_join(left: DataFrame, right: DataFrame, predicate: Predicate, strategy: str | None = None) -> DataFrame:
     """Pairs of rows for which all terms hold, whatever their comparisons."""
+    if strategy == "broadcast" and known_bytes(right) > BROADCAST_BYTES:
+        strategy = None  # Spark chooses
     right = right.hint(HINTS[strategy]) if strategy else right
     return left.join(right, predicate.column(), "inner") if predicate.terms else product(left, right)
 
@@ -59,8 +70,8 @@ def theta_join(left: DataFrame, right: DataFrame, predicate: Predicate, strategy
 def equi_join(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], strategy: str | None = None) -> DataFrame:
     """Inner join on equal columns; ``strategy`` is merge, hash, broadcast or None for Spark's choice.
 
-    Broadcasting is asked for only by a caller that knows the right side's
-    bound; by itself Spark broadcasts under spark.sql.autoBroadcastJoinThreshold.
+    A side of over BROADCAST_BYTES is not broadcast even if asked for; by itself
+    Spark broadcasts under spark.sql.autoBroadcastJoinThreshold.
     """
     from tessera.operators.predicates import Name
 
