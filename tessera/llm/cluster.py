@@ -118,3 +118,12 @@ def with_found(rows: DataFrame, found: DataFrame, key: str, on: list[str]) -> Da
     met = sieve.passed(rows, F.col(key)).join(found, on, "left")
     rest = sieve.left(rows, F.col(key))
     return met if rest is None else met.unionByName(rest.withColumn(name, F.lit(None).cast(found.schema[name].dataType)))
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``rows``, columns as they are, without those whose ``key``, a bigint, is in the written table ``gone``; most rows are not shuffled."""
+    sieve = Sieve(gone, key)
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    kept = sieve.passed(rows, F.col(key)).join(gone, key, "left_anti").select(*columns)
+    rest = sieve.left(rows, F.col(key))
+    return kept if rest is None else kept.union(rest.select(*columns))

@@ -388,7 +388,8 @@ def near_duplicates(df: DataFrame, **options: object) -> DataFrame:
     nodes = docs.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
     far = components(found) if not found.isEmpty() else None
     named = nodes.join(far, "node", "left") if far is not None else nodes.withColumn("component", F.lit(None).cast("bigint"))
-    named = named.select("s1", "s2", F.coalesce("component", "node").alias("component"))
+    # written, so that the join below has plain inputs, which Spark can split where a set has very many copies
+    named = table(named.select("s1", "s2", F.coalesce("component", "node").alias("component")))
     out = docs.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id").eqNullSafe(F.col("component_id")), F.lit(False)))
