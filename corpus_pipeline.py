@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, neardup, packing, quality, suffixdup
-from tessera.llm.cluster import table
+from tessera.llm.cluster import table, without
 from tessera.llm.queries import read, sampled_model
 
 
@@ -34,8 +34,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of five-word-shingle similarity 0.8 or more."""
-    gone = neardup.near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = table(neardup.near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id"))
+    return without(docs, gone, "doc_id")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
