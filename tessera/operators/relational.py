@@ -56,7 +56,7 @@ BROADCAST_BYTES = 256 << 20
 
 def known_bytes(df: DataFrame) -> int:
     """What Spark's statistics say of the rows' size, files' sizes at the least; joins and unknowns count as their products."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def theta_join(left: DataFrame, right: DataFrame, predicate: Predicate, strategy: str | None = None) -> DataFrame:
