@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import pandas as pd
@@ -374,6 +375,23 @@ def index_join(spark: SparkSession, folder: str) -> DataFrame:
     return layouts.index_join(spark, *names, [("o_custkey", "c_custkey")]).select("o_orderkey", "c_name")
 
 
+@query("select * from (values ('by_key', 0.01), ('by_price', 0.1), ('by_both', 0.001), ('by_status', 0.01)) t(idxname, expected)")
+def index_costs(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of the rows that a lookup by each index is expected to read."""
+    e = engine(spark, folder, "orders")
+    for name, columns, kind in (("by_key", "o_custkey", "btree"), ("by_price", "o_totalprice", "btree"), ("by_both", "o_custkey, o_totalprice", "btree"), ("by_status", "o_orderstatus", "hash")):
+        e.execute(f"create index {name} on orders ({columns}) using {kind}")
+    p = Predicate((Term(Name("o_custkey"), "=", Constant(7)), Term(Name("o_totalprice"), ">", Constant(1000)), Term(Name("o_orderstatus"), "=", Constant("F"))))
+    return spark.createDataFrame([(n, round(x.expected(p), 6)) for n, x in e.built.items()], "idxname string, expected double")
+
+
+@query("select cast(count(*) as varchar) n_rows, true has_plan from orders where o_totalprice > 100000")
+def explain_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """What EXPLAIN says: a plan with the pushed filter, and the number of rows of the query, which it runs."""
+    df = engine(spark, folder, "orders").sql("explain select o_orderkey from orders where o_totalprice > 100000")
+    return df.select(F.regexp_extract("query_plan", r"rows: (\d+)", 1).alias("n_rows"), F.col("query_plan").contains("PushedFilters: [IsNotNull(o_totalprice)").alias("has_plan"))
+
+
 # ---- transactions, sessions, clients
 
 
@@ -424,6 +442,29 @@ def client_rows(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(got, "n_nationkey int, n_name string")
 
 
+@query("select 0 line, 'r_name' said union all select cast(row_number() over (order by r_name) as int), r_name from region union all select count(*) + 1, 'error' from region")
+def console_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """What the console shows for a query over two lines and for a wrong statement."""
+    from tessera import console
+
+    out: list[str] = []
+    console.run(engine(spark, folder, "region"), ["select r_name from region", "order by r_name;", "select nothing from region;", "exit"], out.append)
+    return spark.createDataFrame([(i, x.split(":")[0]) for i, x in enumerate(out)], "line int, said string")
+
+
+@query("select p_partkey, p_size from part")
+def recovery(spark: SparkSession, folder: str) -> DataFrame:
+    """A writer that was lost between its manifests and the end of its transaction has changed nothing."""
+    e = _parts(spark, folder)
+    e.catalog.begin()
+    e.execute("delete from parts where p_size < 10")
+    lost = e.catalog.txn.pending["parts"]
+    e.catalog.folder("parts").commit(f"v{lost['base'] + 1:09d}.json", json.dumps({"schema": lost["schema"], "files": lost["files"], "transaction": "lost"}))
+    after = Engine(spark, e.catalog.root)
+    after.catalog.recover()
+    return after.table("parts").select("p_partkey", "p_size")
+
+
 @query("select * from (values ('index', 'by_size'), ('view', 'cheap')) t(kind, name)")
 def drop_view_and_index(spark: SparkSession, folder: str) -> DataFrame:
     e = _parts(spark, folder)
