@@ -7,7 +7,9 @@ byte by byte; should a bucket hold different texts, all but the first get a
 number appended, so equal fingerprints mean equal canonical texts.
 
 Defined cases: a null text counts as empty; repeated rows have one fingerprint;
-an empty table gives no rows; a null id is a document like others.
+an empty table gives no rows; a null id is a document like others, the last in
+descending order; ties of ids go by their texts; very long texts are taken whole;
+other columns are ignored.
 """
 
 from __future__ import annotations

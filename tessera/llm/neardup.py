@@ -20,7 +20,9 @@ similar sets.  Bands of registers find candidates.
 Defined cases: documents without words (null, empty, white space) have an empty
 set and no links; with fewer words than a shingle the whole sequence is the one
 shingle; repeated rows are equal sets; an empty table gives no rows; rows that
-share an id are one document; a null id has a row and links with no other.
+share an id are one document; a null id has a row and links with no other; very
+long texts are sets like others, one at a time in memory; of equal sets the
+smallest id stands for all; other columns are ignored.
 """
 
 from __future__ import annotations

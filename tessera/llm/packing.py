@@ -10,7 +10,8 @@ two, where sequences need no padding.
 
 Defined cases: a null or empty text has one token (the end id), so has one
 piece; equal texts and repeated rows are packed each on its own; an empty table
-gives no pieces; other columns are ignored.
+gives no pieces; other columns are ignored; a very long text is tokenized as one
+value in its task; ids may be null or repeat.
 """
 
 from __future__ import annotations

@@ -392,3 +392,38 @@ def test_chat_fingerprints_select(spark, monkeypatch):
     assert chat.turns_of_records(df).where("turns is not null").count() == 0
     with pytest.raises(ValueError):
         chat.turns_of_table(table)
+
+
+@pytest.mark.parametrize("bound", [512, 0])
+def test_sieve(spark, monkeypatch, bound):
+    """No key is lost, few others pass, and beyond the bound all do; joins through it are whole."""
+    from tessera.llm import cluster
+
+    monkeypatch.setattr(cluster, "SIEVE_BLOCKS", bound)
+    rows = spark.range(20_000).select(F.col("id").alias("key"), F.lit("x").alias("_block"), F.lit(2).alias("_bits")).repartition(5)
+    rows = rows.union(rows.where("key < 3")).union(spark.createDataFrame([(None, "n", 0)], "key bigint, _block string, _bits int"))
+    keys = cluster.table(spark.range(0, 20_000, 40).select(F.col("id").alias("key"), (F.col("id") * 2).alias("twice")))
+    sieve = cluster.Sieve(keys, "key")
+    passed = sieve.passed(rows, F.col("key"))
+    assert passed.join(keys, "key", "left_semi").count() == 501
+    left = sieve.left(rows, F.col("key"))
+    assert (left is None) == (not bound)
+    if bound:
+        assert passed.count() < 1200 and passed.count() + left.count() == rows.count()
+    found = cluster.with_found(rows, keys, "key", ["key"])
+    assert found.count() == rows.count() and found.where("twice = 2 * key").count() == 501 and found.where("twice is null").count() == rows.count() - 501
+    kept = cluster.without(rows, cluster.table(keys.select("key")), "key")
+    assert kept.count() == rows.count() - 501 and kept.columns == rows.columns
+    nothing = cluster.Sieve(cluster.table(keys.where("false")), "key")
+    assert bound == 0 or nothing.passed(rows, F.col("key")).count() == 0
+
+
+def test_commonest_contexts_are_met_without_a_join(spark, monkeypatch):
+    """With any bound on what is broadcast the spans are the same."""
+    passage = "the same passage of words that every text has somewhere in it, and goes on for a while " * 3
+    df = spark.createDataFrame([(i, f"text {i} begins so {'ab' * (i % 5)} {passage} and ends with {i * 7919}") for i in range(150)], "doc_id bigint, text string").repartition(3)
+    got = []
+    for most in (1 << 16, 1):
+        monkeypatch.setattr(suffixdup, "COMMON", most)
+        got.append([{r.doc_id: (r.n_bytes, r.kept) for r in suffixdup.removed(df, length=100, keep_first=first).collect()} for first in (False, True)])
+    assert got[0] == got[1] and any(len(k) < n for n, k in got[0][0].values())
