@@ -47,15 +47,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def whole_texts(df: DataFrame) -> DataFrame:
-    """``df``, which is about to send whole texts to Python.
+#: What a batch of whole texts may hold where a session has Spark's default (10,000 rows, 64 MB); a longer text comes alone.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304")}
 
-    Spark counts Arrow batches in rows, by default 10,000 of them, which may be
-    long texts; a session that says nothing else gets smaller ones.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key) == "10000":
-        df.sparkSession.conf.set(key, "1000")
+
+def whole_texts(df: DataFrame) -> DataFrame:
+    """``df``, which is about to send whole texts to Python, in batches bounded by rows and by bytes."""
+    conf = df.sparkSession.conf
+    for key, (default, ours) in BATCH.items():
+        if conf.get(key) == default:
+            conf.set(key, ours)
     return df
 
 

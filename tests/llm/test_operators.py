@@ -6,10 +6,11 @@ import json
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontamination, fingerprint, hmm, html, neardup, packing, quality, sharding, suffixdup
+from tessera.llm import chat, cluster, decontamination, fingerprint, hmm, html, neardup, packing, quality, sharding, suffixdup
 
 LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3000
 DOCS = [
@@ -427,3 +428,21 @@ def test_commonest_contexts_are_met_without_a_join(spark, monkeypatch):
         monkeypatch.setattr(suffixdup, "COMMON", most)
         got.append([{r.doc_id: (r.n_bytes, r.kept) for r in suffixdup.removed(df, length=100, keep_first=first).collect()} for first in (False, True)])
     assert got[0] == got[1] and any(len(k) < n for n, k in got[0][0].values())
+
+
+def test_batches_of_texts_are_bounded(spark):
+    was = {key: spark.conf.get(key) for key in cluster.BATCH}
+    try:
+        for key, (default, _) in cluster.BATCH.items():
+            spark.conf.set(key, default)
+        texts = spark.range(600, numPartitions=1).select(F.repeat(F.lit("x"), 40_000).alias("text"))
+        sizes = lambda source: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"]) for b in source)
+        got = cluster.whole_texts(texts).mapInArrow(sizes, "n bigint, size bigint").toPandas()
+        assert got["n"].sum() == 600 and got["size"].max() < 5 << 20
+        # a session's own bounds stay
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 1 << 20)
+        cluster.whole_texts(texts)
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(1 << 20)
+    finally:
+        for key, value in was.items():
+            spark.conf.set(key, value)
