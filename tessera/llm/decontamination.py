@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.cluster import table, whole_texts, with_found
-from tessera.llm.textkit import BY_ALNUM, Words, batches, slices, texts_of
+from tessera.llm.textkit import BY_ALNUM, Words, batches, byte_hash, same_bytes, slices, texts_of
 
 
 class Automaton:
@@ -70,11 +70,11 @@ class Automaton:
         for s in sorted(range(len(self.link)), key=self.length.__getitem__):
             self.short_link[s] = s if s in short else self.short_link[self.link[s]] if s else -1
         self.least = min([window, *(n for x in short.values() for n, _ in x)])
-        hashes = np.array([], np.uint64)
-        if self.words:
-            listed = list(self.words)
-            hashes = np.concatenate([Words(listed[a:b], bytes(range(256))).hashes() for a, b in slices(listed)])
-        order = np.argsort(hashes)
+        self.spelt = np.frombuffer(b"".join(self.words), np.uint8)
+        self.ends = np.cumsum(np.fromiter((len(w) for w in self.words), np.int64, len(self.words)))
+        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64) if self.words else self.ends
+        hashes = byte_hash(self.spelt, self.starts, self.ends)
+        order = np.argsort(hashes, kind="stable")
         self.keys, self.numbers = hashes[order], order.astype(np.int64)
 
     def _extend(self, last: int, word: int) -> int:
@@ -109,10 +109,22 @@ class Automaton:
             p = link[p]
         return clone
 
-    def numbered(self, hashes: np.ndarray) -> np.ndarray:
-        """Item-word numbers, -1 for other words."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), max(len(self.keys) - 1, 0))
-        return np.where(self.keys[at] == hashes, self.numbers[at], -1) if len(self.keys) else np.full(len(hashes), -1)
+    def numbered(self, words: Words) -> np.ndarray:
+        """Item-word numbers, -1 for other words; hashes find them, bytes decide."""
+        hashes, length = words.hashes(), words.ends - words.starts
+        out = np.full(len(hashes), -1)
+        at, todo = np.searchsorted(self.keys, hashes), np.arange(len(hashes))
+        while len(todo):  # a second time round only where item words share a hash
+            inside = at < len(self.keys)
+            todo, at = todo[inside], at[inside]
+            hit = self.keys[at] == hashes[todo]
+            todo, at = todo[hit], at[hit]
+            number = self.numbers[at]
+            same = self.ends[number] - self.starts[number] == length[todo]
+            same[same] = same_bytes(words.data, words.starts[todo[same]], self.spelt, self.starts[number[same]], length[todo[same]])
+            out[todo[same]] = number[same]
+            todo, at = todo[~same], at[~same] + 1
+        return out
 
     def stream(self, numbers: list[int]) -> Iterator[tuple[int, int, object]]:
         """(end, words, item) of each window that ends in this run of item words."""
@@ -142,7 +154,7 @@ class Automaton:
         for a, b in slices(texts):
             words = Words(texts[a:b], BY_ALNUM)
             # a stranger between any two texts, so that no run crosses
-            numbers = np.insert(self.numbered(words.hashes()), words.first[1:-1], -1)
+            numbers = np.insert(self.numbered(words), words.first[1:-1], -1)
             begin = words.first[:-1] + np.arange(b - a)
             inside = np.zeros(len(numbers) + 2, np.int8)
             inside[1:-1] = numbers >= 0

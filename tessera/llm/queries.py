@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontamination, fingerprint, hmm, html, neardup, packing, quality, sharding, suffixdup
+from tessera.llm import chat, decontamination, fingerprint, hmm, html, neardup, packing, periodic, quality, sharding, suffixdup
 from tessera.llm.cluster import table
 
 
@@ -140,6 +140,39 @@ def op10_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(stats, model).select("doc_id", (remainder("doc_id", 4) == HELD_OUT).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op11_harmonic_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(read(spark, sf_dir, "documents"), tails=periodic.repeated_tail).withColumn("top", periodic.best(F.col("runs")))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.floor(F.lit(1000) * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(periodic.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+# DuckDB has no CRC-32, so it is made here from its table, a byte at a time.
+OP11_SQL = r"""
+WITH RECURSIVE shift(i, k, v) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM shift WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) l FROM shift WHERE k = 8),
+crc AS (SELECT id, xor(list_reduce(list_prepend(4294967295, [CAST(ascii(c) AS BIGINT) FOR c IN string_split(CAST(id AS VARCHAR), '')]), lambda h, b: xor(h // 256, l[1 + xor(h % 256, b)])), 4294967295) h
+  FROM (SELECT DISTINCT doc_id id FROM documents), crc_table),
+d AS (SELECT doc_id, h, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') w FROM documents JOIN crc ON id = doc_id),
+t AS (SELECT doc_id, w, len(w) n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END a, 3 + (h // 10) % 8 z FROM d),
+m AS (SELECT doc_id, n, a, 1 + (n - a) // z p, w FROM t),
+x AS MATERIALIZED (SELECT doc_id, n, i, w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] v FROM m, unnest(range(n)) u(i)),
+g AS (SELECT doc_id, u.q p, u.q * k i FROM m, unnest(range(1, n // 4 + 1)) u(q), unnest(range(n // u.q)) v(k) WHERE n >= 6 AND u.q * k + 2 * u.q < n),
+c AS (SELECT DISTINCT doc_id, p FROM g JOIN x a USING (doc_id, i) JOIN x b ON b.doc_id = g.doc_id AND b.i = g.i + p AND b.v = a.v JOIN x e ON e.doc_id = g.doc_id AND e.i = g.i + 2 * p AND e.v = a.v),
+e AS (SELECT c.doc_id, p, a.i, a.i - row_number() OVER (PARTITION BY c.doc_id, p ORDER BY a.i) o FROM c JOIN x a ON a.doc_id = c.doc_id JOIN x b ON b.doc_id = c.doc_id AND b.i = a.i + p AND b.v = a.v),
+r AS (SELECT doc_id, start, length, min(p) period FROM (SELECT doc_id, p, min(i) start, count(*) + p length FROM e GROUP BY doc_id, p, o) WHERE length >= greatest(6, 4 * p) GROUP BY ALL),
+s AS (SELECT doc_id, count(*) n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) l FROM r GROUP BY doc_id),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1),
+gone AS (SELECT DISTINCT doc_id, i FROM r, unnest(range(start + period, start + length)) u(i)),
+k AS (SELECT doc_id, string_agg(v, ' ' ORDER BY i) l FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) n_runs, start, length, period, 1000 * length // period exponent_milli, sha256(coalesce(s.l, '')) runs_sha256, sha256(coalesce(k.l, '')) collapsed_sha256
+FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
