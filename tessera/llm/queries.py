@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontamination, fingerprint, hmm, html, neardup, packing, periodic, quality, sharding, suffixdup
+from tessera.llm import chat, decontamination, fingerprint, hmm, html, neardup, packing, periodic, quality, sharding, suffixdup, whitening
 from tessera.llm.cluster import table
 
 
@@ -173,6 +173,17 @@ FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN k
 """
 
 
+def op12_covariance_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors, components=32)
+    error = whitening.identity_error(vectors, model) if model else 0.0
+    shares = F.array(*(F.lit(float(e)) for e in (model.explained if model else ()))).cast("array<double>")
+    return whitening.transform(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n if model else 0).cast("bigint").alias("n"), "deviation", "whitened",
+        F.get(shares, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
