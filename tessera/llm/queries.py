@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontamination, fingerprint, hmm, html, neardup, packing, periodic, quality, sharding, suffixdup, whitening
+from tessera.llm import chat, decontamination, fingerprint, hmm, html, neardup, packing, periodic, quality, sharding, suffixdup, toxicity, whitening
 from tessera.llm.cluster import table
 
 
@@ -184,6 +184,27 @@ def op12_covariance_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, by: int, held_out: int, sample: int) -> DataFrame:
+    """text and label of about ``sample`` labelled documents at most that may train, drawn by a hash of their ids."""
+    train = labels.where(remainder("doc_id", by) != held_out).select("doc_id", F.col(label).alias("label")).dropDuplicates(["doc_id", "label"])
+    drawn = F.pmod(F.xxhash64(F.lit("labelled"), F.col("doc_id").cast("bigint")), F.lit(1 << 30)) <= min(1.0, sample / max(1, train.count())) * (1 << 30)
+    some = F.broadcast(train.where(drawn))  # about ``sample`` rows at most
+    return docs.where(drawn).select("doc_id", "text").join(some, "doc_id").select("text", "label")
+
+
+#: Rows whose remainder of the id's CRC-32 by 3 is this one never train the toxicity model.
+TOXIC_HELD_OUT = 1
+
+
+def op13_maximum_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(labelled_sample(docs, read(spark, sf_dir, "labels"), "toxic", 3, TOXIC_HELD_OUT, 20_000))
+    return toxicity.score(docs, model).select(
+        "doc_id", (remainder("doc_id", 3) == TOXIC_HELD_OUT).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), F.size("passages").cast("bigint").alias("n_passages"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
