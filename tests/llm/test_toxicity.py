@@ -80,7 +80,7 @@ def test_scores_of_words(spark):
 
 def test_passages(spark):
     model = toxicity.fit(labelled(spark))
-    rows = [(1, "the cat sat on the mat", 0), (2, "over the hill you vilefool vilebeast and the cat", 0), (2, "over the hill you vilefool vilebeast and the cat", 1), (3, None, 0), (4, "", 0), (None, "!! -- ..", 0), (5, "vilefool " * 100_000, 0), (6, "the cat " * 100_000, 0)]
+    rows = [(1, "the cat sat on the mat", 0), (2, "over the hill see vilefool vilebeast there to see", 0), (2, "over the hill see vilefool vilebeast there to see", 1), (3, None, 0), (4, "", 0), (None, "!! -- ..", 0), (5, "vilefool " * 100_000, 0), (6, "the cat " * 100_000, 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, score int").repartition(3)
     got = {r.doc_id: r for r in toxicity.score(df, model).collect()}
     assert set(got) == {1, 2, 3, 4, None, 5, 6} and toxicity.score(df, model).count() == 8
