@@ -1,20 +1,15 @@
-"""Candidates by locality-sensitive hashes, then exact ranking.
-
-``tables_for`` and ``step_for`` measure recall against brute force over many
-queries and take the fewest tables, or the finest rounding, that they try and
-that reach the recall asked for.
-"""
+"""Candidates of one query by locality-sensitive hashes, as filters on a scan; ``buckets`` joins many queries with many rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors
-from tessera.operators.knn import knn, knn_batch, recall
+from tessera.operators.knn import knn
 
 
 def _planes(dimension: int, bits: int, tables: int, seed: int) -> np.ndarray:
@@ -48,60 +43,3 @@ def band_candidates(df: DataFrame, query: Sequence[float], bands: int = 8, bucke
     own = vectors.bands(F.col(vector), bands, buckets, step)
     asked = vectors.bands(vectors.literal(query), bands, buckets, step)
     return df.where(F.exists(F.zip_with(own, asked, lambda a, b: a == b), lambda same: same))
-
-
-def sign_keys(bits: int, tables: int, seed: int = 11) -> Callable[[np.ndarray], np.ndarray]:
-    """As signs, for the rows of a matrix."""
-
-    def keys(rows: np.ndarray) -> np.ndarray:
-        planes = _planes(rows.shape[1], bits, tables, seed).astype(float)
-        sides = rows @ planes.reshape(tables * bits, -1).T >= 0
-        return sides.reshape(len(rows), tables, bits) @ (1 << np.arange(bits)[::-1])
-
-    return keys
-
-
-def band_keys(bands: int, buckets: int, step: float) -> Callable[[np.ndarray], np.ndarray]:
-    """A bucket number for each slice of the rows of a matrix, components rounded to ``step``."""
-
-    def keys(rows: np.ndarray) -> np.ndarray:
-        size = -(-rows.shape[1] // bands)
-        factors = np.random.default_rng(size).integers(1, 1 << 62, size)
-        rounded = np.floor(rows / step + 0.5).astype(np.int64)
-        parts = [rounded[:, at : at + size] for at in range(0, rows.shape[1], size)]
-        # a product and a shift, wrapping, mixes the parts' numbers before they are put in buckets
-        return np.stack([((p * factors[: p.shape[1]]).sum(1) >> 17) % buckets for p in parts], 1)
-
-    return keys
-
-
-def search_batch(df: DataFrame, queries: DataFrame, k: int = 20, bits: int = 4, tables: int = 12, id_column: str = "vec_id", vector: str = "embedding", query_id: str = "vec_id") -> DataFrame:
-    """As knn_batch, of the rows that share a bucket with the query in one table at least."""
-    return knn_batch(df, queries, k, "euclidean", id_column, vector, query_id, key=sign_keys(bits, tables))
-
-
-def band_search_batch(df: DataFrame, queries: DataFrame, k: int = 20, bands: int = 8, buckets: int = 97, step: float = 0.25, id_column: str = "vec_id", vector: str = "embedding", query_id: str = "vec_id") -> DataFrame:
-    """As knn_batch, of the rows whose rounded slice equals the query's in one band at least."""
-    return knn_batch(df, queries, k, "euclidean", id_column, vector, query_id, key=band_keys(bands, buckets, step))
-
-
-def tables_for(df: DataFrame, queries: DataFrame, k: int = 20, bits: int = 4, tables: int = 12, least: float = 0.9, most: int = 512) -> tuple[int, float]:
-    """The number of tables, from ``tables`` on in steps of a third, whose recall against brute force is ``least``, and that recall."""
-    exact = knn_batch(df, queries, k).cache()
-    while True:
-        found = recall(search_batch(df, queries, k, bits, tables), exact).first()[0] or 0.0
-        if found >= least or tables >= most or exact.isEmpty():
-            exact.unpersist()
-            return tables, found
-        tables = min(most, tables + max(1, tables // 3))
-
-
-def step_for(df: DataFrame, queries: DataFrame, k: int = 20, bands: int = 8, buckets: int = 97, step: float = 0.25, least: float = 0.9, most: float = 1e6) -> tuple[float, float]:
-    """The step to round to, from ``step`` on in steps of a quarter, whose recall against brute force is ``least``, and that recall."""
-    exact = knn_batch(df, queries, k).cache()
-    while True:
-        found = recall(band_search_batch(df, queries, k, bands, buckets, step), exact).first()[0] or 0.0
-        if found >= least or step >= most or exact.isEmpty():
-            exact.unpersist()
-            return step, found
-        step *= 1.25

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from tessera import client
 from tessera.errors import BadSemantics, BadSyntax, Conflict, DialectError
 from tessera.functions import vectors
-from tessera.operators import knn, layouts, lsh, relational, statistics
+from tessera.operators import knn, layouts, relational, statistics
 from tessera.operators.predicates import Constant, Name, Predicate, Term
-from tessera.plans import procedures
+from tessera.plans import catalogue, procedures
 from tessera.plans.catalogue import _DOT, _L2, _Q, K, _parts, _ranked, engine, query, text_of, vector_of
 from tessera.plans.engine import Engine
 from tessera.sources import files, generators, loaders
@@ -260,16 +260,22 @@ def knn_ivf_sql(spark: SparkSession, folder: str) -> DataFrame:
     return df
 
 
-@query(_REACHED)
+_PRUNED = "select count(*) queries, true reached, true pruned from embeddings where vec_id % 50 = 0"
+
+
+def _pruned(found: DataFrame) -> DataFrame:
+    """Whether recall reached 0.9 with fewer than half of all pairs compared."""
+    return found.agg(F.count_distinct("query_id").alias("queries"), (F.min("recall") >= 0.9).alias("reached"), (F.max("share") < 0.5).alias("pruned"))
+
+
+@query(_PRUNED)
 def lsh_recall(spark: SparkSession, folder: str) -> DataFrame:
-    df = files.table(spark, folder, "embeddings").select("vec_id", "embedding")
-    return _reached(spark, folder, lsh.tables_for(df, df.where("vec_id % 50 = 0"), K, least=0.9)[1])
+    return _pruned(catalogue.lsh_candidates(spark, folder))
 
 
-@query(_REACHED)
+@query(_PRUNED)
 def band_recall(spark: SparkSession, folder: str) -> DataFrame:
-    df = files.table(spark, folder, "embeddings").select("vec_id", "embedding")
-    return _reached(spark, folder, lsh.step_for(df, df.where("vec_id % 50 = 0"), K, least=0.9)[1])
+    return _pruned(catalogue.band_candidates(spark, folder))
 
 
 @query(f"with {_Q}, d as (select vec_id, list_sum(list_transform(list_zip(embedding, v), lambda x: abs(x[1]::double - x[2]::double))) d from embeddings, q) select vec_id from d order by d, vec_id limit {K}")

@@ -56,31 +56,6 @@ def test_lsh_finds_itself(base):
     assert lsh.band_candidates(df, x[5].astype(float).tolist()).where("vec_id = 5").count() == 1
 
 
-def test_lsh_reaches_recall(base):
-    x, df = base
-    asked = df.where("vec_id % 10 = 0")
-    exact = knn.knn_batch(df, asked, 20)
-    for some, best, search in ((2, lsh.tables_for(df, asked, 20, tables=2), lambda n: lsh.search_batch(df, asked, 20, tables=n)), (0.25, lsh.step_for(df, asked, 20), lambda n: lsh.band_search_batch(df, asked, 20, step=n))):
-        n, found = best
-        assert n > some and found >= 0.9 > knn.recall(search(some), exact).first()[0]
-        assert knn.recall(search(n), exact).first()[0] == pytest.approx(found)
-
-
-def test_lsh_keys_are_those_of_columns(base):
-    x, df = base
-    own = lsh.sign_keys(4, 12)(x.astype(float))
-    for r in df.select("vec_id", lsh.signs(F.col("embedding").cast("array<double>"), 10, 4, 12).alias("s")).collect():
-        assert own[r.vec_id].tolist() == r.s
-
-
-@pytest.mark.parametrize("name", ["lsh_candidates", "band_candidates"])
-def test_lsh_queries_measure_recall(spark, name):
-    from tessera.plans import catalogue
-
-    got = catalogue.queries()[name](spark, "/root/testdata/sf0.01").toPandas()
-    assert set(got.query_id) == set(range(0, 500, 50)) and (got.recall >= 0.9).all()
-
-
 def test_empty_batch(spark, base):
     _, df = base
     assert knn.knn_batch(df, df.where("false")).count() == 0
