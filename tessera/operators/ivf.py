@@ -55,14 +55,16 @@ def train(df: DataFrame, cells: int = 16, sample: int = 100_000, seed: int = 7,
 
 
 def assigned(df: DataFrame, centroids: np.ndarray, vector: str = "embedding") -> DataFrame:
-    """The rows with the cell of each; a zero-size batch of any partition is fine."""
-    schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType())])
+    """The rows with the cell of each and how far they are from its centroid; a zero-size batch of any partition is fine."""
+    schema = T.StructType([*df.schema.fields, T.StructField("far", T.DoubleType()), T.StructField("cell", T.IntegerType())])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             base = batch.column(batch.schema.get_field_index(vector)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, centroids.shape[1])
-            cell = pair_distances(base, centroids, "euclidean").argmin(1) if len(base) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=[*batch.schema.names, "cell"])
+            d = pair_distances(base, centroids, "euclidean")
+            cell = d.argmin(1) if len(base) else np.zeros(0)
+            far = d.min(1) if len(base) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(far), pa.array(cell.astype(np.int32))], names=[*batch.schema.names, "far", "cell"])
 
     return df.mapInArrow(run, schema)
 
@@ -77,15 +79,25 @@ def build(df: DataFrame, path: str | None = None, cells: int = 16, id_column: st
     return index
 
 
+#: Rows of a cell in a file.
+FILE_ROWS = 100_000
+
+
+def _files(df: DataFrame, index: Ivf) -> DataFrame:
+    """The rows with their cells, dealt so that a cell has a file, or one for each FILE_ROWS of an average cell's rows."""
+    pieces = max(1, df.count() // len(index.centroids) // FILE_ROWS)
+    return assigned(df, index.centroids, index.vector).repartition("cell", F.pmod(F.xxhash64(index.id_column), F.lit(pieces)))
+
+
 def append(df: DataFrame, index: Ivf) -> None:
     """New rows go to the cells of the centroids there are."""
-    assigned(df, index.centroids, index.vector).repartition("cell", F.pmod(F.xxhash64(index.id_column), F.lit(4))).write.mode("append").partitionBy("cell").parquet(index.path)
+    _files(df, index).write.mode("append").partitionBy("cell").parquet(index.path)
 
 
 def append_batch(df: DataFrame, index: Ivf, number: int) -> None:
     """As append, of a numbered batch: done again it replaces what it wrote before."""
     path = f"{index.batches}/batch={number}"
-    assigned(df, index.centroids, index.vector).repartition("cell", F.pmod(F.xxhash64(index.id_column), F.lit(4))).write.mode("overwrite").partitionBy("cell").parquet(path)
+    _files(df, index).write.mode("overwrite").partitionBy("cell").parquet(path)
 
 
 def search(spark, index: Ivf, query: Sequence[float], k: int = 20, probe: int = 8, distance: str = "euclidean") -> DataFrame:

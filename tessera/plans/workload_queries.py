@@ -250,14 +250,42 @@ def ivf_recall(spark: SparkSession, folder: str) -> DataFrame:
     return _reached(spark, folder, found)
 
 
-@query(f"select vec_id from ({_ranked(_L2)}) limit 1")
+@query(_REACHED)
 def knn_ivf_sql(spark: SparkSession, folder: str) -> DataFrame:
-    """An ordering by distance that reads an index's nearest cells only."""
+    """A statement for each query vector, of 20 neighbours, that reads an index's nearest cells only, with brute force beside it."""
     e = _celled(spark, folder)
-    df = e.sql(f"select vec_id from embeddings order by embedding <EUC> {text_of(vector_of(spark, folder))} limit 1")
-    if e.used != ["by_cell"]:
-        raise BadSemantics("the index was not read")
-    return df
+    df = files.table(spark, folder, "embeddings").select("vec_id", "embedding")
+    asked, found = df.where("vec_id % 50 = 0"), None
+    for r in asked.toLocalIterator():  # the statements, one by one
+        near = e.sql(f"select vec_id from embeddings order by embedding <EUC> {text_of(r.embedding)} limit {K}")
+        if e.used != ["by_cell"]:
+            raise BadSemantics("the index was not read")
+        near = near.select(F.lit(r.vec_id).alias("query_id"), F.col("vec_id").alias("id"))
+        found = near if found is None else found.unionByName(near)
+    return _reached(spark, folder, knn.recall(found, knn.knn_batch(df, asked, K)).first()[0])
+
+
+def _browsed(spark: SparkSession, folder: str, tables: str, columns: str, where: str, **options: object) -> DataFrame:
+    """The nearest rows through the cells of an index, exact; rings says whether they were read ring by ring."""
+    e = engine(spark, folder, *tables.split(), **options)
+    e.execute("create index by_cell on embeddings (embedding) using ivf")
+    df = e.sql(f"select {columns} from {', '.join(tables.split())} {where} order by embedding <EUC> {text_of(vector_of(spark, folder))} limit {K}")
+    return df.withColumn("rings", F.lit(e.used == ["by_cell"] and 0 < e.cells_read[0] <= e.cells_read[1]))
+
+
+@query(f"select vec_id, true rings from ({_ranked(_L2, 'label = 2')})")
+def knn_filtered_cells(spark: SparkSession, folder: str) -> DataFrame:
+    return _browsed(spark, folder, "embeddings", "vec_id", "where label = 2")
+
+
+@query(f"with {_Q}, d as (select vec_id, r_name, {_L2.format(a='embedding', b='v')} d from embeddings join region on label = r_regionkey, q) select vec_id, r_name, true rings from d order by d, vec_id limit {K}")
+def knn_join_cells(spark: SparkSession, folder: str) -> DataFrame:
+    return _browsed(spark, folder, "embeddings region", "vec_id, r_name", "where label = r_regionkey")
+
+
+@query(f"select vec_id, true rings from ({_ranked(_L2)})")
+def knn_exact_cells(spark: SparkSession, folder: str) -> DataFrame:
+    return _browsed(spark, folder, "embeddings", "vec_id", "", exact=True)
 
 
 _PRUNED = "select count(*) queries, true reached, true pruned from embeddings where vec_id % 50 = 0"

@@ -110,6 +110,35 @@ def test_cells(spark):
     assert [r.i for r in e.sql("select i from v order by e <EUC> [0, 0] limit 1").collect()] == [1] and e.used == []
 
 
+def test_cells_with_filters_joins_and_exactly(spark):
+    """Rings of cells give what brute force gives, and read few cells where rows are in clusters."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.uniform(-50, 50, (20, 4)), 30, 0) + rng.standard_normal((600, 4)) / 10
+    x[40] = x[41]  # a tie
+    rows = [(i, i % 7, [float(f) for f in v.astype("float32")]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "i bigint, g int, e array<float>")
+    names = spark.createDataFrame([(3, "three"), (5, "five"), (5, "cinq")], "k int, name string")
+    e, plain, sure = Engine(spark, tie="i"), Engine(spark, tie="i"), Engine(spark, tie="i", exact=True)
+    for s in (e, plain, sure):
+        s.register("v", df)
+        s.register("names", names)
+    for s in (e, sure):
+        s.execute("create index cells on v (e) using ivf")
+    for q in (x[40], x[599], np.zeros(4)):
+        near = f"order by e <EUC> {[float(f) for f in q]} limit 9"
+        for where in ("where g = 3", "where g > 100", "where i < 5", "where i = 41"):
+            text = f"select i from v {where} {near}"
+            assert e.sql(text).collect() == plain.sql(text).collect() and e.used == ["cells"]
+        text = f"select i, name from v, names where g = k and i > 9 {near}"
+        assert sorted(e.sql(text).collect()) == sorted(plain.sql(text).collect()) and e.used == ["cells"]
+        text = f"select i from v {near}"
+        assert sure.sql(text).collect() == plain.sql(text).collect()
+        if q[0]:
+            assert sure.cells_read[0] < sure.cells_read[1] / 4
+
+
 def test_closure():
     p = Predicate((Term(Name("a"), "=", Name("b")), Term(Name("b"), "=", Name("c")), Term(Constant(5), ">", Name("a"))))
     assert {t for t in p.closed().terms if t not in p.terms} == {Term(Name("b"), "<", Constant(5)), Term(Name("c"), "<", Constant(5))}
