@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.errors import BadSemantics
-from tessera.operators.predicates import Predicate, Term
+from tessera.operators.inequality import TURNED, inequality_join
+from tessera.operators.predicates import Name, Predicate, Term
 
 AGGREGATES = {
     "avg": ("avgof", lambda c: F.avg(c.cast("double"))),
@@ -59,10 +60,37 @@ def known_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def _inequalities(left: DataFrame, right: DataFrame, predicate: Predicate) -> list[tuple[str, str, str]] | None:
+    """The terms as (left column, comparison, right column), if they are inequalities only and neither side is small enough to broadcast."""
+    out = []
+    for t in predicate.terms:
+        a, b = t.left, t.right
+        if not (isinstance(a, Name) and isinstance(b, Name)) or t.op not in TURNED or {f.dataType.typeName() for d, n in ((left, a), (right, b), (left, b), (right, a)) for f in d.schema if f.name == n.name} & {"array"}:
+            return None
+        out.append((a.name, t.op, b.name) if a.name in left.columns else (b.name, TURNED[t.op], a.name))
+    limit = spark_bytes(left.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    return out if out and min(known_bytes(left), known_bytes(right)) > limit else None
+
+
+def spark_bytes(text: str) -> int:
+    """A size of Spark's settings: a number with b, k, m or g behind it, or none."""
+    number, unit = text.strip().lower().rstrip("b"), 1
+    for letter, by in (("k", 1 << 10), ("m", 1 << 20), ("g", 1 << 30)):
+        if number.endswith(letter):
+            number, unit = number[:-1], by
+    return int(number) * unit
+
+
 def theta_join(left: DataFrame, right: DataFrame, predicate: Predicate, strategy: str | None = None) -> DataFrame:
-    """Pairs of rows for which all terms hold, whatever their comparisons."""
+    """Pairs of rows for which all terms hold, whatever their comparisons.
+
+    Inequalities alone, between sides that Spark would not broadcast, go by ranges; see ``inequality``.
+    """
     if strategy == "broadcast" and known_bytes(right) > BROADCAST_BYTES:
         strategy = None  # Spark chooses
+    inequalities = None if strategy else _inequalities(left, right, predicate)
+    if inequalities:
+        return inequality_join(left, right, inequalities)
     right = right.hint(HINTS[strategy]) if strategy else right
     return left.join(right, predicate.column(), "inner") if predicate.terms else product(left, right)
 
@@ -73,8 +101,6 @@ def equi_join(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]
     A side of over BROADCAST_BYTES is not broadcast even if asked for; by itself
     Spark broadcasts under spark.sql.autoBroadcastJoinThreshold.
     """
-    from tessera.operators.predicates import Name
-
     return theta_join(left, right, Predicate(tuple(Term(Name(a), "=", Name(b)) for a, b in pairs)), strategy)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import types
 from tessera.functions import arithmetic, vectors
-from tessera.operators import buckets, ivf, knn, layouts, relational, statistics
+from tessera.operators import buckets, inequality, ivf, knn, layouts, relational, statistics
 from tessera.operators.predicates import Constant, Name, Predicate, Term
 from tessera.plans import procedures
 from tessera.plans.engine import Engine
@@ -118,6 +118,30 @@ def written_casts(spark: SparkSession, folder: str) -> DataFrame:
 
 dialect("cross_product", "region supplier", "select r_name, s_name from region, supplier")
 dialect("join_equi", "customer nation", "select c_custkey, n_name from customer, nation where c_nationkey = n_nationkey")
+
+@query("select o_orderkey, l_orderkey, l_linenumber from orders join lineitem on l_extendedprice >= o_totalprice and l_extendedprice < o_totalprice + 0.5")
+def join_band(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines whose price is that of any order, or up to half a unit more."""
+    o = files.table(spark, folder, "orders").select("o_orderkey", "o_totalprice", (F.col("o_totalprice") + 0.5).alias("most"))
+    lines = files.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return inequality.inequality_join(o, lines, [("o_totalprice", "<=", "l_extendedprice"), ("most", ">", "l_extendedprice")]).select("o_orderkey", "l_orderkey", "l_linenumber")
+
+
+@query("select s_suppkey, count(*) n, sum(p_size) sizes from supplier join part on p_retailprice < s_acctbal group by s_suppkey")
+def join_inequality(spark: SparkSession, folder: str) -> DataFrame:
+    """The parts that each supplier's balance pays for."""
+    pairs = inequality.inequality_join(files.table(spark, folder, "supplier").select("s_suppkey", "s_acctbal"), files.table(spark, folder, "part").select("p_size", "p_retailprice"), [("s_acctbal", ">", "p_retailprice")])
+    return pairs.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("sizes"))
+
+
+@query("select o_orderkey, l_orderkey, l_linenumber from orders join lineitem on o_totalprice < l_extendedprice and o_orderdate > l_shipdate where o_totalprice > 90000 and l_quantity >= 50")
+def join_two_inequalities(spark: SparkSession, folder: str) -> DataFrame:
+    """Comparisons of different columns: the first is joined on, the second filters."""
+    o = files.table(spark, folder, "orders").where("o_totalprice > 90000").select("o_orderkey", "o_totalprice", "o_orderdate")
+    lines = files.table(spark, folder, "lineitem").where("l_quantity >= 50").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate")
+    return inequality.inequality_join(o, lines, [("o_totalprice", "<", "l_extendedprice"), ("o_orderdate", ">", "l_shipdate")]).select("o_orderkey", "l_orderkey", "l_linenumber")
+
+
 dialect("join_theta", "region nation", "select r_name, n_name from region, nation where r_regionkey < n_regionkey")
 dialect("join_three_way", "customer orders nation", "select o_orderkey, c_name, n_name from orders, nation, customer where o_custkey = c_custkey and c_nationkey = n_nationkey and o_totalprice > 100000")
 dialect("join_composite", "orders lineitem supplier", "select l_orderkey, l_linenumber, s_name from lineitem, orders, supplier where l_orderkey = o_orderkey and l_suppkey = s_suppkey and o_custkey > s_suppkey")
