@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.errors import BadSemantics
+from tessera.operators.aggregates import Mergeable
+from tessera.operators.aggregates import aggregate as mergeable
 from tessera.operators.inequality import TURNED, inequality_join
 from tessera.operators.predicates import Name, Predicate, Term
 
@@ -33,6 +35,16 @@ def register_aggregate(name: str, prefix: str, make: Callable[[Column], Column],
         NUMERIC.add(name)
 
 
+#: Aggregates of the form init, update, merge, finish, by name.
+MERGEABLE: dict[str, Mergeable] = {}
+
+
+def register_mergeable(name: str, prefix: str, aggregate: Mergeable) -> None:
+    """A new aggregate whose states are merged, so no group is in one task; see ``aggregates``."""
+    register_aggregate(name, prefix, lambda c: F.raise_error(F.lit(f"{name} is merged, not expressed")), aggregate.numeric)
+    MERGEABLE[name] = aggregate
+
+
 HINTS = {"merge": "merge", "hash": "shuffle_hash", "broadcast": "broadcast", "nested_loop": "shuffle_replicate_nl"}
 
 
@@ -108,13 +120,33 @@ def aggregate_name(fn: str, column: str) -> str:
     return AGGREGATES[fn][0] + column
 
 
+def _merged(df: DataFrame, keys: list[str], aggregates: list[tuple[str, str]], strict_empty: bool) -> DataFrame:
+    """Merged aggregates beside the others, met by their keys."""
+    own = [(aggregate_name(fn, c), MERGEABLE[fn], c) for fn, c in aggregates if fn in MERGEABLE]
+    found = mergeable(df, keys, own)
+    rest = [a for a in aggregates if a[0] not in MERGEABLE]
+    columns = [*keys, *(aggregate_name(fn, c) for fn, c in aggregates)]
+    if not keys:
+        if strict_empty and df.isEmpty():
+            return found.where("false").select(*(n for n, _, _ in own)) if not rest else found.crossJoin(group_by(df, [], rest)).where("false").select(*columns)
+        return (found.crossJoin(group_by(df, [], rest)) if rest else found).select(*columns)  # one row each
+    if not rest:
+        return found.select(*columns)
+    names = {k: f"_key{i}" for i, k in enumerate(keys)}
+    found = found.withColumnsRenamed(names)
+    met = group_by(df, keys, rest).join(found, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return met.select(*columns)
+
+
 def group_by(df: DataFrame, keys: Sequence[str], aggregates: Sequence[tuple[str, str]], strict_empty: bool = False) -> DataFrame:
     """Keys and aggregates, named by their function and column.
 
     Without aggregates the distinct keys.  Without keys one row, or with
     ``strict_empty`` no row for an empty input.
     """
-    keys = list(dict.fromkeys(keys))
+    keys, aggregates = list(dict.fromkeys(keys)), list(dict.fromkeys(aggregates))
+    if any(fn in MERGEABLE for fn, _ in aggregates):
+        return _merged(df, keys, aggregates, strict_empty)
     made = [AGGREGATES[fn][1](F.col(c)).alias(aggregate_name(fn, c)) for fn, c in dict.fromkeys(aggregates)]
     if keys:
         return df.groupBy(*keys).agg(*made) if made else df.select(*keys).distinct()

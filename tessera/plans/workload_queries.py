@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera import client
 from tessera.errors import BadSemantics, BadSyntax, Conflict, DialectError
 from tessera.functions import vectors
-from tessera.operators import knn, layouts, relational, statistics
+from tessera.operators import aggregates, knn, layouts, relational, statistics
 from tessera.operators.predicates import Constant, Name, Predicate, Term
 from tessera.plans import catalogue, procedures
 from tessera.plans.catalogue import _DOT, _L2, _Q, K, _parts, _ranked, engine, query, text_of, vector_of
@@ -330,6 +330,24 @@ def agg_registered(spark: SparkSession, folder: str) -> DataFrame:
     return engine(spark, folder, "lineitem").sql("select l_returnflag, spread(l_quantity) from lineitem group by l_returnflag")
 
 
+for _name, _prefix, _made in (("variance", "varianceof", aggregates.Variance()), ("extent", "extentof", aggregates.Extent())):
+    if _name not in relational.AGGREGATES:
+        relational.register_mergeable(_name, _prefix, _made)
+
+
+@query("select round(var_pop(l_extendedprice), 2) varianceofl_extendedprice, max(l_quantity) - min(l_quantity) extentofl_quantity, count(l_orderkey) countofl_orderkey from lineitem")
+def agg_merged_one_group(spark: SparkSession, folder: str) -> DataFrame:
+    """Aggregates of states over one group of all lines: a task sees one state of each other task at the most."""
+    df = engine(spark, folder, "lineitem").sql("select variance(l_extendedprice), extent(l_quantity), count(l_orderkey) from lineitem")
+    return df.withColumn("varianceofl_extendedprice", F.round("varianceofl_extendedprice", 2))
+
+
+@query("select l_returnflag, l_linestatus, round(var_pop(l_extendedprice), 2) varianceofl_extendedprice, avg(l_quantity) avgofl_quantity from lineitem group by all")
+def agg_merged_groups(spark: SparkSession, folder: str) -> DataFrame:
+    df = engine(spark, folder, "lineitem").sql("select l_returnflag, l_linestatus, variance(l_extendedprice), avg(l_quantity) from lineitem group by l_returnflag, l_linestatus")
+    return df.withColumn("varianceofl_extendedprice", F.round("varianceofl_extendedprice", 2))
+
+
 @query("select l_returnflag, round(sum(l_discount * l_discount), 4) squaresofl_discount from lineitem group by 1")
 def agg_user_function(spark: SparkSession, folder: str) -> DataFrame:
     """An aggregate written in pandas and registered by a client."""
