@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera import client
 from tessera.errors import BadSemantics, BadSyntax, Conflict, DialectError
 from tessera.functions import vectors
-from tessera.operators import aggregates, knn, layouts, relational, statistics
+from tessera.operators import aggregates, history, knn, layouts, relational, statistics
 from tessera.operators.predicates import Constant, Name, Predicate, Term
 from tessera.plans import catalogue, procedures
 from tessera.plans.catalogue import _DOT, _L2, _Q, K, _parts, _ranked, engine, query, text_of, vector_of
@@ -237,6 +237,32 @@ def _celled(spark: SparkSession, folder: str) -> Engine:
     return e
 
 
+_AS_OF = f"""
+with p as (select q.vec_id query_id, e.vec_id id, {_L2.format(a='e.embedding', b='q.embedding')} d from embeddings q, embeddings e where q.vec_id % 50 = 0),
+truth as (select *, row_number() over (partition by query_id order by d, id) r from p where id % 5 <> 4 or id <= query_id),
+found as (select *, row_number() over (partition by query_id order by d, id) r from p where id % 5 <> 4)
+"""
+
+
+def _history(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, a fifth of them inserted at places of their own, and the questions: each at its own place."""
+    df = files.table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return df.withColumn("seq", F.when(F.col("vec_id") % 5 == 4, F.col("vec_id")).otherwise(-1)), df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("vec_id").alias("seq"))
+
+
+@query(f"{_AS_OF} select query_id, id, cast(r as int) \"rank\" from truth where r <= {K}")
+def knn_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    return history.knn_as_of(*_history(spark, folder), K).select("query_id", "id", "rank")
+
+
+@query(f"{_AS_OF} select t.query_id, round(count(f.id) / {K}, 6) recall from (select * from truth where r <= {K}) t left join (select * from found where r <= {K}) f using (query_id, id) group by t.query_id")
+def recall_of_history(spark: SparkSession, folder: str) -> DataFrame:
+    """What a search that never saw the inserts found, against the truth at each question's place."""
+    rows, asked = _history(spark, folder)
+    found = history.knn_as_of(rows.where("seq = -1"), asked, K)
+    return history.recall_as_of(found, rows, asked, K).select("query_id", F.round("recall", 6).alias("recall"))
+
+
 @query(_REACHED)
 def ivf_recall(spark: SparkSession, folder: str) -> DataFrame:
     """All queries against the cells that an index made by a statement probes, with brute force beside it."""
