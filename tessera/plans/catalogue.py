@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import types
 from tessera.functions import arithmetic, vectors
-from tessera.operators import buckets, inequality, ivf, knn, layouts, relational, statistics
+from tessera.operators import buckets, inequality, ivf, knn, layouts, prefix, relational, statistics
 from tessera.operators.predicates import Constant, Name, Predicate, Term
 from tessera.plans import procedures
 from tessera.plans.engine import Engine
@@ -180,6 +180,13 @@ dialect("group_distinct", "orders", "select o_orderstatus, o_orderpriority from
 
 # ---- order and limits
 
+@query("select l_orderkey, l_linenumber, row_number() over (order by l_shipdate desc, l_extendedprice, l_orderkey, l_linenumber) p from lineitem")
+def sort_positions(spark: SparkSession, folder: str) -> DataFrame:
+    """All lines with their place in one order of the whole table."""
+    lines = files.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice")
+    return prefix.positions(lines, [("l_shipdate", False), ("l_extendedprice", True), ("l_orderkey", True), ("l_linenumber", True)], "p").select("l_orderkey", "l_linenumber", "p")
+
+
 dialect("sort_multi", "orders", "select o_orderpriority, o_orderkey from orders order by o_orderpriority desc, o_orderkey asc limit 50")
 dialect("sort_hidden_column", "orders", "select o_orderkey from orders order by o_totalprice, o_orderkey limit 25")
 dialect("sort_by_agg", "orders", "select o_custkey, count(o_orderkey) from orders group by o_custkey order by count(o_orderkey) desc, o_custkey limit 5", "select o_custkey, count(*) countofo_orderkey from orders group by o_custkey order by 2 desc, 1 limit 5")

@@ -14,7 +14,7 @@ from tessera.errors import BadSemantics, BadSyntax, Conflict, DialectError
 from tessera.functions import vectors
 from tessera.operators import aggregates, history, knn, layouts, relational, statistics
 from tessera.operators.predicates import Constant, Name, Predicate, Term
-from tessera.plans import catalogue, procedures
+from tessera.plans import catalogue, order_sets, procedures
 from tessera.plans.catalogue import _DOT, _L2, _Q, K, _parts, _ranked, engine, query, text_of, vector_of
 from tessera.plans.engine import Engine
 from tessera.sources import files, generators, loaders
@@ -50,6 +50,67 @@ def _ordered(spark: SparkSession, folder: str) -> tuple[Engine, DataFrame]:
     return e, procedures.call(e, "new_order", **_home(e), lines=LINES, now=0)
 
 
+# ---- all of orders and lineitem as new orders and payments
+
+_PLACES = "h as (select c_custkey c, c_nationkey + 1 d, n_regionkey + 1 w from customer join nation on c_nationkey = n_nationkey), o as (select o_orderkey seq, c, d, w from orders join h on o_custkey = c)"
+# a line after another: the stock of one supplier for each part
+_FOLD = f"""
+with recursive {_PLACES},
+l as (select l_partkey i, seq, l_linenumber n, cast(l_quantity as int) q, row_number() over (partition by l_partkey order by seq, l_linenumber, l_quantity) k from lineitem join o on seq = l_orderkey),
+f as (select i, seq, n, k, case when p_size - q < 10 then p_size - q + 91 else p_size - q end s, q y from l join part on p_partkey = i where k = 1
+  union all select l.i, l.seq, l.n, l.k, case when f.s - l.q < 10 then f.s - l.q + 91 else f.s - l.q end, f.y + l.q from f join l on l.i = f.i and l.k = f.k + 1)
+"""
+
+
+def _all_ordered(spark: SparkSession, folder: str) -> Engine:
+    """The shop after all orders, in the order of their keys, each line at its part's one stock."""
+    e, t, c = shop(spark, folder), lambda name: files.table(spark, folder, name), F.col
+    home = t("customer").join(t("nation"), c("c_nationkey") == c("n_nationkey"))
+    orders = t("orders").join(home, c("o_custkey") == c("c_custkey")).select(c("o_orderkey").alias("seq"), (c("n_regionkey") + 1).alias("o_w_id"), (c("n_nationkey") + 1).alias("o_d_id"), c("c_custkey").cast("int").alias("o_c_id"), F.lit(0).cast("bigint").alias("o_entry_d"))
+    lines = t("lineitem").select(c("l_orderkey").alias("seq"), c("l_linenumber").alias("ol_number"), c("l_partkey").cast("int").alias("ol_i_id"), F.lit(1).alias("ol_supply_w_id"), c("l_quantity").cast("int").alias("ol_quantity"))
+    procedures.call(e, "new_orders", orders=orders, lines=lines)
+    return e
+
+
+@query(f"{_FOLD} select p_partkey s_i_id, coalesce(max_by(s, k), p_size) s_quantity, coalesce(max(y), 0) s_ytd, count(k) s_order_cnt from part left join f on i = p_partkey group by p_partkey, p_size")
+def neworders_stock(spark: SparkSession, folder: str) -> DataFrame:
+    return _all_ordered(spark, folder).sql("select s_i_id, s_quantity, s_ytd, s_order_cnt from stock")
+
+
+@query(f"with {_PLACES}, n as (select *, row_number() over (partition by w, d order by seq) o_id from o where seq in (select l_orderkey from lineitem)) select n.o_id, w o_w_id, d o_d_id, c o_c_id, count(*) o_ol_cnt from n join lineitem on l_orderkey = seq group by all")
+def neworders_orders(spark: SparkSession, folder: str) -> DataFrame:
+    return _all_ordered(spark, folder).sql("select o_id, o_w_id, o_d_id, o_c_id, o_ol_cnt from orders")
+
+
+@query(f"with {_PLACES} select n_nationkey + 1 d_id, 1 + count(seq) d_next_o_id from nation left join (select * from o where seq in (select l_orderkey from lineitem)) on d = n_nationkey + 1 group by 1")
+def neworders_districts(spark: SparkSession, folder: str) -> DataFrame:
+    return _all_ordered(spark, folder).sql("select d_id, d_next_o_id from district")
+
+
+@query(f"{_FOLD} select seq, n ol_number, s s_quantity from f")
+def neworders_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The stock after every line, all lines at once."""
+    e, t, c = shop(spark, folder), lambda name: files.table(spark, folder, name), F.col
+    lines = t("lineitem").join(t("orders").join(t("customer"), c("o_custkey") == c("c_custkey")), c("l_orderkey") == c("o_orderkey"), "left_semi")
+    lines = lines.select(c("l_orderkey").alias("seq"), c("l_linenumber").alias("ol_number"), c("l_partkey").cast("int").alias("ol_i_id"), F.lit(1).alias("ol_supply_w_id"), c("l_quantity").cast("int").alias("ol_quantity"))
+    return order_sets.lines_after(lines, e.table("stock")).select("seq", "ol_number", "s_quantity")
+
+
+@query(f"with {_PLACES}, p as (select c, sum(o_totalprice) s, count(*) n from o join orders on o_orderkey = seq group by c) select c_custkey c_id, round(c_acctbal + s, 2) c_balance, c_mktsegment = 'BUILDING' noted from customer join p on c = c_custkey")
+def payments_of_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Each order's price as a payment; customers of bad credit have notes of them."""
+    e, t, c = shop(spark, folder), lambda name: files.table(spark, folder, name), F.col
+    home = t("customer").join(t("nation"), c("c_nationkey") == c("n_nationkey"))
+    paid = t("orders").join(home, c("o_custkey") == c("c_custkey")).select(c("o_orderkey").alias("seq"), (c("n_regionkey") + 1).alias("w_id"), (c("n_nationkey") + 1).alias("d_id"), c("c_custkey").cast("int").alias("c_id"), c("o_totalprice").alias("amount"), F.lit(0).cast("bigint").alias("now"))
+    procedures.call(e, "payments", paid=paid)
+    rows = e.table("customer").join(t("orders").select(c("o_custkey").cast("int").alias("c_id")).distinct(), "c_id", "left_semi")
+    noted = F.col("c_data").rlike("^[0-9]+ [0-9]+ [0-9]+ [0-9.E]+ ")
+    return rows.select("c_id", F.round("c_balance", 2).alias("c_balance"), noted.alias("noted"))
+
+
+# ---- one order or payment
+
+
 @query("select n_nationkey + 1 d_id, (n_regionkey + 1) / 100 w_tax, cast(0.05 as double) d_tax, 1 d_next_o_id from nation")
 def neworder_reads(spark: SparkSession, folder: str) -> DataFrame:
     return shop(spark, folder).sql("select d_id, w_tax, d_tax, d_next_o_id from warehouse, district where w_id = d_w_id")
