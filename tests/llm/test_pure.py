@@ -267,10 +267,13 @@ def test_extract_copies_are_kept():
     assert html.extract([PAGE] * 10) == html.extract([PAGE]) * 10
 
 
-def test_extract_constant_in_articles():
-    pages = [f"<article><p>Story {i}</p><p>Share this story</p></article>" for i in range(8)]
-    assert html.extract(pages)[3] == "Story 3"
-    assert html.extract(pages[:3])[2] == "Story 2\n\nShare this story"
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 6, 7, 8, 30])
+def test_extract_constant_in_articles(n):
+    """What every article says is article text, however many pages there are; what also stands outside of articles is not."""
+    pages = [f"<p>Our menu</p><article><h1>T{i}</h1><p>Body {i}</p><p>Prices are in euros.</p></article>" for i in range(n)]
+    assert html.extract(pages) == [f"T{i}\n\nBody {i}\n\nPrices are in euros." for i in range(n)]
+    pages = [p.replace("</h1>", "</h1><p>Our menu</p>") for p in pages]
+    assert html.extract(pages)[0] == ("T0\n\nBody 0\n\nPrices are in euros." if n > 1 else "T0\n\nOur menu\n\nBody 0\n\nPrices are in euros.")
 
 
 @pytest.mark.parametrize("odd", [None, "", "<p>cut", "<table><tr><td>another layout</table>", "<html><body><div><p>Our si"])
@@ -305,7 +308,7 @@ def test_extract_is_decided_by_alignment(monkeypatch):
     assert html.extract(pages) == want
     # tags that name the article agree with what alignment finds without them
     named = [re.sub(r"<div>(<h1>.*</div>)</div><div>", r"<article>\1</article><div>", p) for p in pages]
-    assert all("<article>" in p for p in named) and html.extract(named) == want
+    assert all("<article>" in p for p in named) and html.extract(named) == [f"{w}\n\nAll about it" for w in want]  # a named article keeps what all articles say
     monkeypatch.setattr(html, "match", lambda a, b, pairs: 0)
     assert not any(x == y for x, y in zip(html.extract(pages), want))
 

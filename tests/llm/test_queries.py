@@ -132,6 +132,20 @@ def test_op4(spark, duck):
         assert (got[page_id].url, got[page_id].text, got[page_id].n_chars) == (url, want, len(want))
 
 
+def test_op4_without_names(spark, duck, tmp_path):
+    """The query on the same pages, with the tags, classes, ids and roles that tell the article taken out: alignment alone finds it."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    plain = F.regexp_replace(F.regexp_replace("html", r"(?i)<(/?)(article|main|nav|header|footer|aside|section)\b", "<$1div"), r"""(?i)\s(class|id|role)=("[^"]*"|'[^']*'|[^\s>]+)""", "")
+    pages.withColumn("html", plain).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.text for r in queries.op4_wrapper_induction(spark, str(tmp_path)).collect()}
+    want = {r.page_id: r.text for r in queries.op4_wrapper_induction(spark, "/root/testdata/sf0.01").collect()}
+    hosts = collections.defaultdict(list)
+    for r in pages.select("page_id", "url").collect():
+        hosts[r.url.split("/")[2]].append(r.page_id)
+    company = [i for ids in hosts.values() if len(ids) >= 3 for i in ids]
+    assert len(company) > 200 and all(got[i] == want[i] for i in company)
+
+
 @pytest.mark.parametrize("name", ["op2_canonical_digest", "op3_longest_processing_time", "op4_wrapper_induction", "op6_harmonic_packing"])
 def test_rows(spark, duck, name):
     df = queries.queries()[name](spark, str(DATA))
