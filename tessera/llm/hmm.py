@@ -1,8 +1,8 @@
 """Hidden Markov language model.
 
 Symbols are the most frequent ``head`` words, one class for each ending of all
-other words, and the text's end.  Baum-Welch takes ``alone`` passes and then at
-most ``passes`` more, each over all training texts: tasks add up their expected
+other words, and the text's end.  Baum-Welch takes ``alone`` passes and then
+others until the log likelihood gains next to nothing, each over all training texts: tasks add up their expected
 counts, blocks of symbols are summed across partitions, and the driver gets one
 states x symbols matrix of fixed size.  In the first passes steps between states
 are held at none, so a text is in one state and its likelihood is a product;
@@ -361,8 +361,8 @@ class Trained:
     words: DataFrame
 
 
-def train(df: DataFrame, text: str = "text", states: int = 10, head: int = 1 << 16, alone: int = 3, passes: int = 2, prior: float = 0.1, gain: float = 1e-3) -> Trained:
-    """Learns from all rows of ``df`` in ``alone`` + ``passes`` passes, fewer of the latter if one gains at most ``gain`` of the log likelihood."""
+def train(df: DataFrame, text: str = "text", states: int = 12, head: int = 1 << 16, alone: int = 1, passes: int = 12, prior: float = 0.1, gain: float = 1e-3) -> Trained:
+    """Learns from all rows of ``df``: ``alone`` passes without steps, then full ones until one gains at most ``gain`` of the log likelihood, ``passes`` at most."""
     words = table(word_counts(df, text))
     texts = df.count()
     class_n, class_once, distinct, twice = np.zeros(ENDINGS), np.zeros(ENDINGS), 0, 0
