@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, neardup, packing, quality, suffixdup
-from tessera.llm.cluster import table, without
+from tessera.llm.cluster import drop, table, without
 from tessera.llm.queries import read, sampled_model
 
 
@@ -64,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         docs = table(stage(spark, docs, sf_dir))
+        if before:
+            drop(before)  # a written stage needs nothing of the one before it
+        before = docs
     return docs
