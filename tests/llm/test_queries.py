@@ -26,11 +26,11 @@ def duck():
 
 @pytest.mark.parametrize("name", queries.oracle_sql())
 def test_sql(spark, duck, name):
-    got, want = queries.queries()[name](spark, str(DATA)).toPandas(), duck.sql(queries.oracle_sql()[name]).df()
+    got, want = queries.queries()[name](spark, str(DATA)), duck.sql(queries.oracle_sql()[name])
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
-    rows = lambda df: sorted(tuple(map(str, r)) for r in df[columns].itertuples(index=False))
-    assert rows(got) == rows(want)
+    rows = lambda found: sorted(tuple(map(str, r)) for r in found)
+    assert rows(got.select(*columns).collect()) == rows(want.project(", ".join(f'"{c}"' for c in columns)).fetchall())
 
 
 def test_op1(spark):
