@@ -1,12 +1,19 @@
 """What an index is here: a copy of rows that lies in files so that Spark's scans read few of them.
 
 An index is built by ``build``, grows by ``append`` and is read by ``lookup`` (or
-``near`` for distances); ``expected`` says how many rows a lookup reads.  Kinds are
-in ``KINDS``, to which others can be added.
+``near`` for distances, ``meeting`` for joins); ``expected`` says how many rows a lookup
+reads.  Kinds are in ``KINDS``, to which others can be added.
+
+What is written in one go is a part, and each row names its part.  ``state`` lists the
+parts an index has, so a session that opens it with ``reopen`` reads those and no rows
+that another session adds meanwhile or left behind when it was lost.
 """
 
 from __future__ import annotations
 
+import base64
+import math
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -20,7 +27,10 @@ from tessera.operators import ivf
 from tessera.operators.knn import pair_distances
 from tessera.operators.predicates import Predicate
 
-BUCKETS = 100
+#: Buckets of a hash index: the fewest, the most, and the bytes of one that more are made for.
+BUCKETS, MOST_BUCKETS, BUCKET_BYTES = 100, 65_536, 256 << 20
+#: Rows that a task may take of one bucket in a join, whatever its share.
+BUCKET_ROWS = 1_000_000
 
 
 def sorted_files(df: DataFrame, keys: Sequence[str], path: str, files: int | None = None) -> None:
@@ -62,7 +72,7 @@ class Layout:
     path: str
     schema: T.StructType
     version: int = 0
-    rows: int = 0
+    parts: list[str] = field(default_factory=list)
 
     def build(self, df: DataFrame) -> None:
         self.append(df)
@@ -78,15 +88,28 @@ class Layout:
         """The share of rows that a lookup reads, by rule: statistics may say more."""
         raise NotImplementedError
 
+    def state(self) -> dict:
+        """What another session needs to read the index, as JSON takes it."""
+        return {"path": self.path, "version": self.version, "parts": self.parts}
+
+    def reopen(self, state: dict) -> None:
+        """Reads what ``state`` tells, of an index of the same columns and schema."""
+        self.path, self.version, self.parts = state["path"], state["version"], list(state["parts"])
+
+    def _part(self, df: DataFrame) -> DataFrame:
+        """The rows as a part of their own, which counts from now on."""
+        self.parts.append(uuid.uuid4().hex)
+        return df.withColumn("_part", F.lit(self.parts[-1]))
+
     def _read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.parquet(self.path).where(F.col("_part").isin(self.parts))
 
 
 class Sorted(Layout):
     """btree: ranges of the keys; bounds of row groups skip what a comparison of leading keys excludes."""
 
     def append(self, df: DataFrame) -> None:
-        df.repartitionByRange(*self.columns).sortWithinPartitions(*self.columns).write.mode("append").parquet(self.path)
+        self._part(df).repartitionByRange(*self.columns).sortWithinPartitions(*self.columns).write.mode("append").parquet(self.path)
 
     def lookup(self, predicate: Predicate) -> DataFrame:
         return self._read().where(predicate.on(self.columns).column()).select(*self.schema.names)
@@ -101,21 +124,85 @@ class Sorted(Layout):
         return out
 
 
+@dataclass
 class Hashed(Layout):
-    """hash: a folder for each of BUCKETS hashes of all keys; equality reads one."""
+    """hash: a folder for each hash of all keys, and the same as Spark's buckets.
+
+    Equality reads one folder.  A join on all keys reads the buckets where they are, so
+    that only the other side is shuffled, and only folders that the other side has keys
+    in.  There are as many buckets as the rows need when the index is built, at least BUCKETS.
+    """
+
+    buckets: int = 0
+    sizes: dict[int, int] = field(default_factory=dict)
+
+    def state(self) -> dict:
+        return super().state() | {"buckets": self.buckets, "sizes": sorted(self.sizes.items())}
+
+    def reopen(self, state: dict) -> None:
+        super().reopen(state)
+        self.buckets, self.sizes = state["buckets"], dict(map(tuple, state["sizes"]))
+
+    @property
+    def name(self) -> str:
+        """The table of this session that tells Spark of the buckets."""
+        return "index_" + self.path.rstrip("/").rsplit("-", 1)[1]
 
     def _bucket(self, values: list) -> object:
-        return F.pmod(F.xxhash64(*values), F.lit(BUCKETS)).cast("int")
+        return F.pmod(F.hash(*values), F.lit(self.buckets)).cast("int")
+
+    def build(self, df: DataFrame) -> None:
+        width = df._jdf.schema().defaultSize()  # bytes of a row by its types
+        self.buckets = min(MOST_BUCKETS, max(BUCKETS, math.ceil(df.count() * width / BUCKET_BYTES)))
+        self.append(df)
 
     def append(self, df: DataFrame) -> None:
-        df.withColumn("_bucket", self._bucket([F.col(c) for c in self.columns])).repartition("_bucket").write.mode("append").partitionBy("_bucket").parquet(self.path)
+        """A part of the rows, dealt by bucket; adaptive execution splits hot buckets over tasks and files."""
+        self._table()
+        rows = self._part(df).withColumn("_bucket", self._bucket([F.col(c) for c in self.columns]))
+        dealt = rows.hint("rebalance", "_bucket")
+        dealt.write.mode("append").format("parquet").partitionBy("_bucket").bucketBy(self.buckets, *self.columns).sortBy(*self.columns).saveAsTable(self.name)
+        added = self.spark.read.parquet(self.path).where(F.col("_part") == self.parts[-1])
+        for r in added.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a bucket
+            self.sizes[r["_bucket"]] = self.sizes.get(r["_bucket"], 0) + r.n
+
+    def _table(self) -> None:
+        if self.spark.catalog.tableExists(self.name):
+            return
+        quoted = [f"`{c}`" for c in self.columns]
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*self.schema, T.StructField("_part", T.StringType()), T.StructField("_bucket", T.IntegerType())])
+        keys = ", ".join(quoted)
+        self.spark.sql(f"create table {self.name} ({fields}) using parquet partitioned by (_bucket) clustered by ({keys}) sorted by ({keys}) into {self.buckets} buckets location '{self.path}'")
+        if self.parts:
+            self.spark.catalog.recoverPartitions(self.name)
 
     def lookup(self, predicate: Predicate) -> DataFrame:
         wanted = [F.lit(next(b[1] for t in predicate.terms if (b := t.bound(c)) and b[0] == "=")).cast(self.schema[c].dataType) for c in self.columns]
         return self._read().where(F.col("_bucket") == self._bucket(wanted)).select(*self.schema.names)
 
+    def meeting(self, other: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
+        """The rows that can meet ``other`` on equal keys, ``keys`` being its names in the order of ours, and the number of buckets read.
+
+        One count of the other side's keys by bucket, summed in its tasks first, says
+        which buckets are needed.  The rows come in Spark's buckets, unless a bucket of
+        either side is hot: then as plain files, which adaptive execution can split.
+        """
+        counts = other.where(" and ".join(f"`{k}` is not null" for k in keys)).groupBy(self._bucket([F.col(k) for k in keys]).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        asked = {r.b: r.n for r in counts.collect()}  # a row a bucket
+        needed = sorted(asked.keys() & self.sizes.keys())
+        even = not any(max(n.values(), default=0) > max(BUCKET_ROWS, 4 * sum(n.values()) / self.buckets) for n in (asked, self.sizes))
+        if even:
+            self._table()
+            self.spark.catalog.recoverPartitions(self.name)
+            rows = self.spark.table(self.name).where(F.col("_part").isin(self.parts))
+        else:
+            rows = self._read()
+        if len(needed) < len(self.sizes):
+            rows = rows.where(F.col("_bucket").isin(needed) if needed else F.lit(False))
+        return rows.select(*self.schema.names), len(needed)
+
     def expected(self, predicate: Predicate) -> float:
-        return 1 / BUCKETS
+        return 1 / max(self.buckets, BUCKETS)
 
 
 @dataclass
@@ -135,6 +222,22 @@ class Cells(Layout):
     sizes: dict[int, int] = field(default_factory=dict)
     radii: dict[int, float] = field(default_factory=dict)
 
+    def state(self) -> dict:
+        i = self.index
+        centroids = i and {"shape": i.centroids.shape, "doubles": base64.b64encode(np.ascontiguousarray(i.centroids, dtype="<f8").tobytes()).decode()}
+        return super().state() | {"centroids": centroids, "probe": self.probe, "recall": self.recall, "sizes": sorted(self.sizes.items()), "radii": sorted(self.radii.items())}
+
+    def reopen(self, state: dict) -> None:
+        super().reopen(state)
+        if found := state["centroids"]:
+            centroids = np.frombuffer(base64.b64decode(found["doubles"]), "<f8").reshape(found["shape"])
+            self.index = ivf.Ivf(self.path, centroids, self._id(), self.columns[0])
+        self.probe, self.recall = state["probe"], state["recall"]
+        self.sizes, self.radii = dict(map(tuple, state["sizes"])), dict(map(tuple, state["radii"]))
+
+    def _rows(self) -> DataFrame:
+        return self.index.rows(self.spark).where(F.col("_part").isin(self.parts))
+
     def _id(self) -> str:
         return next(f.name for f in self.schema if f.name not in self.columns)
 
@@ -143,7 +246,7 @@ class Cells(Layout):
         if not n:
             return
         cells = max(1, min(n, 4096, round(4 * n**0.5)))
-        self.index = ivf.build(df, self.path, cells, self._id(), self.columns[0])
+        self.index = ivf.build(self._part(df), self.path, cells, self._id(), self.columns[0])
         drawn = F.pmod(F.xxhash64(self._id()), F.lit(1 << 20))
         queries = df.where(drawn <= min(1.0, 2 * self.asked / n) * (1 << 20)).orderBy(drawn).limit(self.asked)
         self.probe, self.recall = ivf.probe_for(self.spark, self.index, df, queries, 20, self.least, self._id())
@@ -152,15 +255,15 @@ class Cells(Layout):
     def append(self, df: DataFrame) -> None:
         if self.index is None:
             return self.build(df)
-        ivf.append(df, self.index)
+        ivf.append(self._part(df), self.index)
         self._count()
 
     def _count(self) -> None:
-        found = self.index.rows(self.spark).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()  # a row a cell
+        found = self._rows().groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()  # a row a cell
         self.sizes, self.radii = {r.cell: r.n for r in found}, {r.cell: r.far for r in found}
 
     def _of(self, cells: Sequence[int]) -> DataFrame:
-        return self.index.rows(self.spark).where(F.col("cell").isin([int(c) for c in cells])).select(*self.schema.names)
+        return self._rows().where(F.col("cell").isin([int(c) for c in cells])).select(*self.schema.names)
 
     def near(self, query: Sequence[float], k: int) -> DataFrame:
         """The rows of the nearest ``probe`` cells, or of as many as have k rows."""
@@ -184,7 +287,7 @@ class Cells(Layout):
         nearer or equally near one; only k distances a ring reach the driver.
         """
         centre = pair_distances(self.index.centroids, np.array([list(query)], float), "euclidean")[:, 0]
-        rows = self.index.rows(self.spark)
+        rows = self._rows()
         held = {r.cell: r.n for r in rows.where(predicate.column()).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()} if predicate.terms else self.sizes  # a row a cell
         least = {c: centre[c] - self.radii[c] - 1e-9 * (1 + centre[c]) for c in held}
         order = sorted(held, key=lambda c: (least[c], centre[c]))
@@ -205,7 +308,7 @@ class Cells(Layout):
         return self._of(order[:at]), at
 
     def lookup(self, predicate: Predicate) -> DataFrame:
-        return self.index.rows(self.spark).select(*self.schema.names)
+        return self._rows().select(*self.schema.names)
 
     def expected(self, predicate: Predicate) -> float:
         return 1.0

@@ -514,6 +514,37 @@ def index_join(spark: SparkSession, folder: str) -> DataFrame:
     return layouts.index_join(spark, *names, [("o_custkey", "c_custkey")]).select("o_orderkey", "c_name")
 
 
+@query("select o_orderkey, c_name, c_acctbal from orders join customer on o_custkey = c_custkey where c_acctbal < 0")
+def index_join_pruned(spark: SparkSession, folder: str) -> DataFrame:
+    """A join whose other side says which buckets of a hash index are read; the index's side is not shuffled."""
+    e = engine(spark, folder, "orders", "customer")
+    e.execute("create index by_customer on orders (o_custkey) using hash")
+    return _used(e, "select o_orderkey, c_name, c_acctbal from orders, customer where o_custkey = c_custkey and c_acctbal < 0", "by_customer")
+
+
+@query("""select o_orderpriority, count(distinct o_orderkey) dstcountofo_orderkey, count(l_linenumber) countofl_linenumber
+from orders join lineitem on o_orderkey = l_orderkey where l_quantity > 25 group by o_orderpriority""")
+def index_join_both(spark: SparkSession, folder: str) -> DataFrame:
+    """Both sides of a join lie in the buckets of hash indexes: neither is shuffled for it."""
+    e = engine(spark, folder, "orders", "lineitem")
+    e.execute("create index of_orders on orders (o_orderkey) using hash")
+    e.execute("create index of_lines on lineitem (l_orderkey) using hash")
+    text = "select o_orderpriority, count_distinct(o_orderkey), count(l_linenumber) from orders, lineitem where o_orderkey = l_orderkey and l_quantity > 25 group by o_orderpriority"
+    return _used(e, text, "of_orders", "of_lines")
+
+
+@query("select p_partkey, p_size from part where p_size between 5 and 9 and p_retailprice < 1200 union all select -1, 7")
+def reopened_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """A second session reads, and grows, the view and the index that the first one made."""
+    first = _parts(spark, folder)
+    first.execute("create index by_size on parts (p_size)")
+    first.execute("create view cheap as select p_partkey, p_size, p_retailprice from parts where p_retailprice < 1200")
+    second = Engine(spark, first.catalog.root)
+    second.execute("insert into parts (p_partkey, p_name, p_size, p_retailprice) values (-1, 'new', 7, 1.5)")
+    sizes = _used(second, "select p_partkey from parts where p_size >= 5 and p_size <= 9", "by_size")
+    return second.table("cheap").join(sizes, "p_partkey", "left_semi").select("p_partkey", "p_size")
+
+
 @query("select * from (values ('by_key', 0.01), ('by_price', 0.1), ('by_both', 0.001), ('by_status', 0.01)) t(idxname, expected)")
 def index_costs(spark: SparkSession, folder: str) -> DataFrame:
     """The share of the rows that a lookup by each index is expected to read."""
