@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import sketches
 from tessera.operators.predicates import Predicate, Range
+from tessera.operators.sketches import Bucket
 
 
 def table_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -20,14 +22,6 @@ def table_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return one.select(F.inline(rows))
 
 
-@dataclass(frozen=True)
-class Bucket:
-    range: Range
-    frequency: float
-    distinct: float
-    percentiles: tuple[float, ...] = ()
-
-
 def equal_depth(df: DataFrame, column: str, buckets: int = 20) -> DataFrame:
     """bucket, low, high, frequency and distinct values of buckets of about equal frequency.
 
@@ -128,9 +122,36 @@ class Manager:
         self.table, self.most = table, changes
         self.held: dict[str, list] = {}
         self.counts: dict[str, int] = {}
+        self.states: dict[str, tuple[list, DataFrame]] = {}
 
     def changed(self, name: str, rows: int) -> None:
+        """Rows were changed or taken out, so histograms are made anew when next asked for."""
+        self.counts[name] = self.counts.get(name, 0) + rows
+        self.states.pop(name, None)
+
+    def added(self, name: str, df: DataFrame, rows: int) -> None:
+        """Only rows that came are read: their state is merged with the one there is."""
         self.counts[name] = self.counts.get(name, 0) + rows
+        if name in self.states:
+            fields, state = self.states[name]
+            new = sketches.states(df, [f.name for f in fields])
+            self.states[name] = fields, sketches.held(sketches.merged(state.unionByName(new), len(fields)))
+
+    def histograms(self, name: str, buckets: int = 20) -> dict[str, list[Bucket]]:
+        """Of all columns that can have one, from one pass; after inserts from the rows that came."""
+        if name not in self.states:
+            df = self.table(name)
+            fields = [f for f in df.schema if sketches.able(f)]
+            if not fields:
+                return {}
+            self.states[name] = fields, sketches.held(sketches.states(df, [f.name for f in fields]))
+        fields, state = self.states[name]
+        return sketches.histograms(state, fields, buckets)
+
+    def rows(self, name: str, predicate: Predicate) -> float:
+        """How many rows of a table are estimated to meet a predicate."""
+        made = self.histograms(name)
+        return (self.states[name][1].first().n if made else 0) * predicate_selectivity(made, predicate)
 
     def stats(self, name: str) -> list:
         """A row a column, as ``table_stats``; as old as the changes since allow."""

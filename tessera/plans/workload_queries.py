@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera import client
 from tessera.errors import BadSemantics, BadSyntax, Conflict, DialectError
 from tessera.functions import vectors
-from tessera.operators import aggregates, history, knn, layouts, relational, statistics
+from tessera.operators import aggregates, history, knn, layouts, relational, sketches, statistics
 from tessera.operators.predicates import Constant, Name, Predicate, Term
 from tessera.plans import catalogue, order_sets, procedures
 from tessera.plans.catalogue import _DOT, _L2, _Q, K, _parts, _ranked, engine, query, text_of, vector_of
@@ -738,6 +738,27 @@ def histogram_sync(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(c, round(sum(b.frequency for b in h), 6)) for c, h in made.items()], "column_name string, frequency double")
 
 
+#: Columns of lineitem that have histograms, with a range of each and how its rows are told in SQL.
+_RANGES = [("l_orderkey", ">", 500), ("l_partkey", "<=", 40), ("l_quantity", "<=", 30), ("l_extendedprice", ">", 40_000), ("l_discount", "=", 0.05), ("l_linenumber", "=", 2)]
+
+
+@query(" union all ".join(f"select '{c}' column_name, count(*) n_rows, cast(min({c}) as double) least, cast(max({c}) as double) greatest, true rank_error_under_1_percent, true estimate_within_2_percent from lineitem" for c, _, _ in _RANGES))
+def histogram_one_pass(spark: SparkSession, folder: str) -> DataFrame:
+    """Histograms of all columns from one pass, with the error of their borders' ranks and of estimates measured on all rows."""
+    df = files.table(spark, folder, "lineitem")
+    made = sketches.one_pass(df, [c for c, _, _ in _RANGES])
+    borders = {c: sorted({b.range.high for b in h}) for c, h in made.items()}
+    wanted = {c: Term(Name(c), op, Constant(v)) for c, op, v in _RANGES}
+    true = df.agg(F.count(F.lit(1)).alias("n"), *(F.array(*(F.count_if(F.col(c) <= e) for e in borders[c])).alias(c) for c in made), *(F.count_if(t.column()).alias(f"met_{c}") for c, t in wanted.items())).first()
+    out = []
+    for c, h in made.items():
+        guessed = [sum(b.frequency for b in h if b.range.high <= e) for e in borders[c]]
+        worst = max((abs(g - t) for g, t in zip(guessed, true[c])), default=0)
+        met = statistics.selectivity(h, Predicate((wanted[c],)).range_of(c))
+        out.append((c, true.n, min(b.range.low for b in h), borders[c][-1], worst <= 0.01 * true.n, abs(met * true.n - true[f"met_{c}"]) <= 0.02 * true.n))
+    return spark.createDataFrame(out, "column_name string, n_rows long, least double, greatest double, rank_error_under_1_percent boolean, estimate_within_2_percent boolean")
+
+
 # ---- generators
 
 
