@@ -47,7 +47,7 @@ def _double(field: T.StructField) -> Column:
         return F.unix_date(c).cast("double")
     if isinstance(field.dataType, T.TimestampType):
         return F.unix_micros(c) / 1e6
-    c = c.cast("double")
+    c = c.cast("double") + F.lit(0.0)  # one zero
     return F.when(~F.isnan(c), c)
 
 

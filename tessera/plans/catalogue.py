@@ -127,7 +127,7 @@ def join_band(spark: SparkSession, folder: str) -> DataFrame:
     return inequality.inequality_join(o, lines, [("o_totalprice", "<=", "l_extendedprice"), ("most", ">", "l_extendedprice")]).select("o_orderkey", "l_orderkey", "l_linenumber")
 
 
-@query("select s_suppkey, count(*) n, sum(p_size) sizes from supplier join part on p_retailprice < s_acctbal group by s_suppkey")
+@query("select s_suppkey, count(*) n, cast(sum(p_size) as bigint) sizes from supplier join part on p_retailprice < s_acctbal group by s_suppkey")
 def join_inequality(spark: SparkSession, folder: str) -> DataFrame:
     """The parts that each supplier's balance pays for."""
     pairs = inequality.inequality_join(files.table(spark, folder, "supplier").select("s_suppkey", "s_acctbal"), files.table(spark, folder, "part").select("p_size", "p_retailprice"), [("s_acctbal", ">", "p_retailprice")])

@@ -742,7 +742,7 @@ def histogram_sync(spark: SparkSession, folder: str) -> DataFrame:
 _RANGES = [("l_orderkey", ">", 500), ("l_partkey", "<=", 40), ("l_quantity", "<=", 30), ("l_extendedprice", ">", 40_000), ("l_discount", "=", 0.05), ("l_linenumber", "=", 2)]
 
 
-@query(" union all ".join(f"select '{c}' column_name, count(*) n_rows, cast(min({c}) as double) least, cast(max({c}) as double) greatest, true rank_error_under_1_percent, true estimate_within_2_percent from lineitem" for c, _, _ in _RANGES))
+@query(" union all ".join(f"select '{c}' column_name, count(*) n_rows, cast(min({c}) as double) + 0.0 least, cast(max({c}) as double) + 0.0 greatest, true rank_error_under_1_percent, true estimate_within_2_percent from lineitem" for c, _, _ in _RANGES))
 def histogram_one_pass(spark: SparkSession, folder: str) -> DataFrame:
     """Histograms of all columns from one pass, with the error of their borders' ranks and of estimates measured on all rows."""
     df = files.table(spark, folder, "lineitem")

@@ -57,6 +57,8 @@ def test_empty_dates_and_one_value(spark, table):
     assert sketches.one_pass(table.where("i < 0"), ["i", "x"]) == {"i": [], "x": []}
     assert sketches.one_pass(table.select("s")) == {}
     df = spark.sql("select date'2020-01-01' + cast(id as int) d, timestamp'2020-01-01 00:00:00' t, true b from range(100)")
+    zeros = sketches.one_pass(spark.createDataFrame([(0.0,), (-0.0,), (float("inf"),)], "z double"))["z"]
+    assert [(b.range.low, b.frequency) for b in zeros] == [(0.0, 2.0), (float("inf"), 1.0)]
     made = sketches.one_pass(df)
     assert made["d"][-1].range.high - made["d"][0].range.low == 99
     assert [(b.range.low, b.frequency) for b in made["t"]] == [(1577836800.0, 100.0)] and [(b.range.low, b.frequency) for b in made["b"]] == [(1.0, 100.0)]
