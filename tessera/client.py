@@ -41,7 +41,10 @@ class Connection:
 
     def commit(self) -> None:
         if self.engine.catalog.txn:
+            changed = self.engine.catalog.txn.pending
             self.engine.catalog.end()
+            for table in changed:
+                self.engine.follow(table)
 
     def rollback(self) -> None:
         if self.engine.catalog.txn:

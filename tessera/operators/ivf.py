@@ -9,7 +9,7 @@ only (partition pruning) and ranks their rows exactly.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +29,7 @@ class Ivf:
     centroids: np.ndarray
     id_column: str
     vector: str
+    keep: Callable[[DataFrame], DataFrame] | None = None  # of the rows in the cells, those that count
 
     @property
     def batches(self) -> str:
@@ -38,8 +39,9 @@ class Ivf:
     def rows(self, spark) -> DataFrame:
         base, path = spark.read.parquet(self.path), spark._jvm.org.apache.hadoop.fs.Path(self.batches)
         if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
-            return base
-        return base.unionByName(spark.read.parquet(self.batches).drop("batch"))
+            return self.keep(base) if self.keep else base
+        both = base.unionByName(spark.read.parquet(self.batches).drop("batch"))
+        return self.keep(both) if self.keep else both
 
     def cells_near(self, queries: np.ndarray, probe: int) -> np.ndarray:
         """For each query its ``probe`` nearest cells."""
@@ -51,6 +53,9 @@ def train(df: DataFrame, cells: int = 16, sample: int = 100_000, seed: int = 7,
     # about twice the wanted rows are drawn by hash, so that no more are sorted in one place
     drawn = F.pmod(F.xxhash64(id_column), F.lit(1 << 30))
     some = df.where(drawn <= min(1.0, 2 * sample / max(df.count(), 1)) * (1 << 30)).orderBy(drawn, id_column).limit(sample).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    few = some.distinct().limit(cells + 1).collect()
+    if len(few) <= cells:  # each its own centroid
+        return np.array([r.features.toArray() for r in few])
     return np.array(KMeans(k=cells, seed=seed, maxIter=20).fit(some).clusterCenters())
 
 

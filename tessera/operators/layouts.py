@@ -7,6 +7,10 @@ reads.  Kinds are in ``KINDS``, to which others can be added.
 What is written in one go is a part, and each row names its part.  ``state`` lists the
 parts an index has, so a session that opens it with ``reopen`` reads those and no rows
 that another session adds meanwhile or left behind when it was lost.
+
+Rows of stored tables also name the file they came from.  A table is changed by new
+files in the place of old ones, so an index ``follow``s it by the rows of the new files
+as a part, and by leaving out rows of the old ones when it is read.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ import base64
 import math
 import uuid
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +77,8 @@ class Layout:
     schema: T.StructType
     version: int = 0
     parts: list[str] = field(default_factory=list)
+    stored: bool = False  # whether rows come from files of a stored table
+    dead: list[str] = field(default_factory=list)  # files whose rows are not the table's any more
 
     def build(self, df: DataFrame) -> None:
         self.append(df)
@@ -90,19 +96,33 @@ class Layout:
 
     def state(self) -> dict:
         """What another session needs to read the index, as JSON takes it."""
-        return {"path": self.path, "version": self.version, "parts": self.parts}
+        return {"path": self.path, "version": self.version, "parts": self.parts, "dead": self.dead}
 
     def reopen(self, state: dict) -> None:
         """Reads what ``state`` tells, of an index of the same columns and schema."""
         self.path, self.version, self.parts = state["path"], state["version"], list(state["parts"])
+        self.stored, self.dead = True, list(state["dead"])
+
+    def follow(self, gone: Sequence[str], df: DataFrame | None, version: int) -> None:
+        """The table's next version, without the rows of files ``gone`` and with those of new files."""
+        self.dead += gone
+        if df is not None:
+            self.append(df)
+        self.version = version
 
     def _part(self, df: DataFrame) -> DataFrame:
         """The rows as a part of their own, which counts from now on."""
         self.parts.append(uuid.uuid4().hex)
-        return df.withColumn("_part", F.lit(self.parts[-1]))
+        file = F.substring_index(F.input_file_name(), "/", -1) if self.stored else F.lit("")
+        return df.withColumn("_file", file).withColumn("_part", F.lit(self.parts[-1]))
+
+    def _live(self, df: DataFrame) -> DataFrame:
+        """Of what lies in the index's files, the rows that are the table's."""
+        df = df.where(F.col("_part").isin(self.parts))
+        return df.where(~F.col("_file").isin(self.dead)) if self.dead else df
 
     def _read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).where(F.col("_part").isin(self.parts))
+        return self._live(self.spark.read.parquet(self.path))
 
 
 class Sorted(Layout):
@@ -162,20 +182,31 @@ class Hashed(Layout):
         rows = self._part(df).withColumn("_bucket", self._bucket([F.col(c) for c in self.columns]))
         dealt = rows.hint("rebalance", "_bucket")
         dealt.write.mode("append").format("parquet").partitionBy("_bucket").bucketBy(self.buckets, *self.columns).sortBy(*self.columns).saveAsTable(self.name)
-        added = self.spark.read.parquet(self.path).where(F.col("_part") == self.parts[-1])
-        for r in added.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a bucket
-            self.sizes[r["_bucket"]] = self.sizes.get(r["_bucket"], 0) + r.n
+        self._count()
+
+    def follow(self, gone: Sequence[str], df: DataFrame | None, version: int) -> None:
+        super().follow(gone, df, version)
+        if df is None:
+            self._count()
+
+    def _count(self) -> None:
+        self.sizes = {r["_bucket"]: r.n for r in self._read().groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a bucket
 
     def _table(self) -> None:
         if self.spark.catalog.tableExists(self.name):
             return
         quoted = [f"`{c}`" for c in self.columns]
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*self.schema, T.StructField("_part", T.StringType()), T.StructField("_bucket", T.IntegerType())])
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*self.schema, T.StructField("_file", T.StringType()), T.StructField("_part", T.StringType()), T.StructField("_bucket", T.IntegerType())])
         keys = ", ".join(quoted)
         self.spark.sql(f"create table {self.name} ({fields}) using parquet partitioned by (_bucket) clustered by ({keys}) sorted by ({keys}) into {self.buckets} buckets location '{self.path}'")
         if self.parts:
             self.spark.catalog.recoverPartitions(self.name)
 
+    def _read(self) -> DataFrame:
+        # by its schema, as an index of no rows has no folders
+        schema = T.StructType([*self.schema, *(T.StructField(c, T.StringType()) for c in ("_file", "_part")), T.StructField("_bucket", T.IntegerType())])
+        return self._live(self.spark.read.schema(schema).parquet(self.path))
+
     def lookup(self, predicate: Predicate) -> DataFrame:
         wanted = [F.lit(next(b[1] for t in predicate.terms if (b := t.bound(c)) and b[0] == "=")).cast(self.schema[c].dataType) for c in self.columns]
         return self._read().where(F.col("_bucket") == self._bucket(wanted)).select(*self.schema.names)
@@ -194,7 +225,7 @@ class Hashed(Layout):
         if even:
             self._table()
             self.spark.catalog.recoverPartitions(self.name)
-            rows = self.spark.table(self.name).where(F.col("_part").isin(self.parts))
+            rows = self._live(self.spark.table(self.name))
         else:
             rows = self._read()
         if len(needed) < len(self.sizes):
@@ -231,12 +262,15 @@ class Cells(Layout):
         super().reopen(state)
         if found := state["centroids"]:
             centroids = np.frombuffer(base64.b64decode(found["doubles"]), "<f8").reshape(found["shape"])
-            self.index = ivf.Ivf(self.path, centroids, self._id(), self.columns[0])
+            self.index = ivf.Ivf(self.path, centroids, self._id(), self.columns[0], self._live)
         self.probe, self.recall = state["probe"], state["recall"]
         self.sizes, self.radii = dict(map(tuple, state["sizes"])), dict(map(tuple, state["radii"]))
 
-    def _rows(self) -> DataFrame:
-        return self.index.rows(self.spark).where(F.col("_part").isin(self.parts))
+    def follow(self, gone: Sequence[str], df: DataFrame | None, version: int) -> None:
+        """Cells stay, and how many are probed; a cell's radius holds for the rows that are left of it."""
+        super().follow(gone, df, version)
+        if df is None and self.index is not None:
+            self._count()
 
     def _id(self) -> str:
         return next(f.name for f in self.schema if f.name not in self.columns)
@@ -246,7 +280,7 @@ class Cells(Layout):
         if not n:
             return
         cells = max(1, min(n, 4096, round(4 * n**0.5)))
-        self.index = ivf.build(self._part(df), self.path, cells, self._id(), self.columns[0])
+        self.index = replace(ivf.build(self._part(df), self.path, cells, self._id(), self.columns[0]), keep=self._live)
         drawn = F.pmod(F.xxhash64(self._id()), F.lit(1 << 20))
         queries = df.where(drawn <= min(1.0, 2 * self.asked / n) * (1 << 20)).orderBy(drawn).limit(self.asked)
         self.probe, self.recall = ivf.probe_for(self.spark, self.index, df, queries, 20, self.least, self._id())
@@ -259,11 +293,11 @@ class Cells(Layout):
         self._count()
 
     def _count(self) -> None:
-        found = self._rows().groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()  # a row a cell
+        found = self.index.rows(self.spark).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()  # a row a cell
         self.sizes, self.radii = {r.cell: r.n for r in found}, {r.cell: r.far for r in found}
 
     def _of(self, cells: Sequence[int]) -> DataFrame:
-        return self._rows().where(F.col("cell").isin([int(c) for c in cells])).select(*self.schema.names)
+        return self.index.rows(self.spark).where(F.col("cell").isin([int(c) for c in cells])).select(*self.schema.names)
 
     def near(self, query: Sequence[float], k: int) -> DataFrame:
         """The rows of the nearest ``probe`` cells, or of as many as have k rows."""
@@ -287,7 +321,7 @@ class Cells(Layout):
         nearer or equally near one; only k distances a ring reach the driver.
         """
         centre = pair_distances(self.index.centroids, np.array([list(query)], float), "euclidean")[:, 0]
-        rows = self._rows()
+        rows = self.index.rows(self.spark)
         held = {r.cell: r.n for r in rows.where(predicate.column()).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()} if predicate.terms else self.sizes  # a row a cell
         least = {c: centre[c] - self.radii[c] - 1e-9 * (1 + centre[c]) for c in held}
         order = sorted(held, key=lambda c: (least[c], centre[c]))
@@ -308,7 +342,7 @@ class Cells(Layout):
         return self._of(order[:at]), at
 
     def lookup(self, predicate: Predicate) -> DataFrame:
-        return self._rows().select(*self.schema.names)
+        return self.index.rows(self.spark).select(*self.schema.names)
 
     def expected(self, predicate: Predicate) -> float:
         return 1.0

@@ -64,10 +64,22 @@ def test_indexes_outlive_the_session(spark, engine, kind):
         assert rows(e.sql(text)) == [*want, (1000,)] and e.used == ["ix"]
     engine.execute("insert into t (i, k, s) values (1001, 7, 'x')")
     assert rows(other.sql(text)) == [*want, (1000,), (1001,)] and other.used == ["ix"]
-    # a delete leaves it unread until one session refreshes it
+    # so do deletes, updates and transactions
     engine.execute("delete from t where i > 999")
-    assert rows(other.sql(text)) == want and other.used == []
+    assert rows(other.sql(text)) == want and other.used == ["ix"]
+    other.execute("update t set k = 7 where i = 8")
+    for e in (other, engine):
+        assert rows(e.sql(text)) == sorted([*want, (8,)]) and e.used == ["ix"] and len(rows(e.sql("select i from t where k = 8"))) == 9
+    with engine.transaction():
+        engine.execute("delete from t where k = 7")
+        assert rows(engine.sql(text)) == [] and engine.used == []
+    assert rows(other.sql(text)) == [] and other.used == ["ix"]
+    with pytest.raises(ZeroDivisionError), engine.transaction():
+        engine.execute("delete from t")
+        1 / 0
     other.refresh_index("ix")
+    want = [(i,) for i in range(9, 500, 50)]
+    text = "select i from t where k = 9"
     assert rows(engine.sql(text)) == want and engine.used == ["ix"]
     engine.execute("drop index ix")
     assert rows(other.sql(text)) == want and other.used == [] and not other.catalog.indexes
@@ -164,3 +176,32 @@ def test_hot_buckets_are_left_to_adaptive_execution(spark, engine, shuffled, mon
     engine.execute("create index ix on t (k) using hash")
     df = engine.sql(text)
     assert engine.used == ["ix"] and rows(df) == want and exchanges(df) == 2
+
+
+def test_an_index_catches_up_with_lost_sessions_and_is_built_anew(spark, engine, monkeypatch):
+    engine.execute("create index ix on t (k) using hash")
+    lost = Engine(spark, engine.catalog.root)
+    monkeypatch.setattr(lost, "follow", lambda table: None)  # lost after its commits
+    lost.execute("delete from t where i < 250")
+    lost.execute("insert into t (i, k, s) values (1000, 7, 'x')")
+    want = [(i,) for i in (*range(257, 500, 50), 1000)]
+    text = "select i from t where k = 7"
+    assert rows(engine.sql(text)) == want and engine.used == []
+    engine.follow("t")
+    assert rows(engine.sql(text)) == want and engine.used == ["ix"] and engine.built["ix"].dead
+    monkeypatch.setattr("tessera.plans.engine.MOST_DEAD", 0)
+    engine.execute("delete from t where i = 1000")
+    assert rows(engine.sql(text)) == want[:-1] and engine.used == ["ix"] and not engine.built["ix"].dead
+
+
+@pytest.mark.parametrize("kind", ["btree", "hash", "ivf"])
+def test_an_index_of_no_rows(spark, kind):
+    e = Engine(spark, tie="i")
+    e.execute("create table v (i long, e vector(2))")
+    e.execute(f"create index ix on v ({'e' if kind == 'ivf' else 'i'}) using {kind}")
+    ask = "select i from v order by e <EUC> [0, 0] limit 3" if kind == "ivf" else "select i from v where i = 3"
+    assert e.sql(ask).collect() == []
+    e.insert("v", spark.createDataFrame([(3, [1.0, 2.0])], "i bigint, e array<float>"))
+    assert rows(e.sql(ask)) == [(3,)] and e.used == ["ix"]
+    e.execute("delete from v where i = 3")
+    assert rows(e.sql(ask)) == []
